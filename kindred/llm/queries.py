@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import sharding, simhash
+from . import ann, line_dedup, sharding, simhash
 
-MODULES = (sharding, simhash)
+MODULES = (sharding, simhash, line_dedup, ann)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in MODULES for name, sql in getattr(module, "ORACLE_SQL", {}).items()}
