@@ -93,6 +93,7 @@ class ItemIndex:
     item: np.ndarray
     pos: np.ndarray
     filter: np.ndarray
+    lap: int
 
     BITS = 22
 
@@ -111,17 +112,16 @@ class ItemIndex:
         keys, starts = np.unique(every[order], return_index=True)
         sieve = np.zeros(1 << cls.BITS, bool)
         sieve[(keys >> np.uint64(64 - cls.BITS)).astype(np.int64)] = True
-        return cls([i for i, _ in texts], [p for _, p in texts], [p for _, p in pairs], k, lengths - q + 1 - k * q, np.maximum(k, 1), keys, np.append(starts, len(every)), item[order], pos[order], sieve)
+        return cls([i for i, _ in texts], [p for _, p in texts], [p for _, p in pairs], k, lengths - q + 1 - k * q, np.maximum(k, 1), keys, np.append(starts, len(every)), item[order], pos[order], sieve, int((lengths + 2 * k).max(initial=0)) + q)
 
     def regions(self, points: np.ndarray, q: int = Q, piece: int = 1 << 20) -> Iterator[tuple[int, int]]:
         """(item, band) of each band that reaches the lemma's bound.  Long texts are taken in pieces that overlap by more than
         the longest item and its budget, so that no band's passage is cut everywhere."""
         if not self.ids:
             return
-        lap = max(len(p) + 2 * int(k) for p, k in zip(self.points, self.k, strict=True)) + q
         seen = set()
         for at in range(0, max(1, len(points) - q + 1), piece):
-            grams = qgrams(points[at : at + piece + lap], q)
+            grams = qgrams(points[at : at + piece + self.lap], q)
             here = np.flatnonzero(self.filter[(grams >> np.uint64(64 - self.BITS)).astype(np.int64)])
             if not len(here) or not len(self.keys):
                 continue
@@ -132,16 +132,20 @@ class ItemIndex:
             if not n.sum():
                 continue
             which = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.starts[slot], n)
-            item, pos = self.item[which], self.pos[which]
-            diagonal = np.repeat(here, n) - pos
-            band = diagonal // self.width[item]
+            item = self.item[which]
+            # All bands of an item together must reach its bound before any is looked at.
+            enough = (np.bincount(item, minlength=len(self.ids)) >= self.least)[item]
+            if not enough.any():
+                continue
+            item, pos, begin = item[enough], self.pos[which[enough]], np.repeat(here, n)[enough]
+            band = (begin - pos) // self.width[item]
             # A hit counts in its band and the one below: bands are two widths wide and overlap by half.  An item's q-gram counts once.
-            rows = np.concatenate([np.stack([item, band, pos], 1), np.stack([item, band - 1, pos], 1)])
-            rows = np.unique(rows, axis=0)
-            edge = np.flatnonzero(np.append(True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)))
-            counts = np.diff(np.append(edge, len(rows)))
-            for r in edge[counts >= self.least[rows[edge, 0]]]:
-                found = int(rows[r, 0]), int(rows[r, 1])
+            floor, span, longest = int(band.min()) - 1, int(band.max() - band.min()) + 2, int(pos.max()) + 1
+            cells = (item * span + band - floor) * longest + pos
+            cells = np.unique(np.concatenate([cells, cells - longest]))
+            cell, counts = np.unique(cells // longest, return_counts=True)
+            for c in cell[counts >= self.least[cell // span]].tolist():
+                found = c // span, c % span + floor
                 if found not in seen:
                     seen.add(found)
                     yield found
