@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import ann, decontaminate, html_text, line_crf, line_dedup, sharding, simhash, token_counts
+from . import ann, decontaminate, html_text, line_crf, line_dedup, mixing, sharding, simhash, surrogates, token_counts
 
-MODULES = (sharding, simhash, line_dedup, ann, html_text, line_crf, token_counts, decontaminate)
+MODULES = (token_counts, mixing, html_text, surrogates, decontaminate, sharding, line_crf, simhash, line_dedup, ann)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in MODULES for name, sql in getattr(module, "ORACLE_SQL", {}).items()}
