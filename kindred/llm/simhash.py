@@ -37,7 +37,10 @@ def shingle_hashes(text: str | None, width: int, seed: int = 42) -> np.ndarray:
 
 def fingerprint(text: str | None, width: int = 3, block: int = 1 << 16) -> int:
     """Signed 64-bit SimHash: a bit is set where more than half of the shingle hashes set it; no words give 0."""
-    hashes = shingle_hashes(text, width)
+    return _signs(shingle_hashes(text, width), block)
+
+
+def _signs(hashes: np.ndarray, block: int = 1 << 16) -> int:
     counts = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), block):
         part = hashes[at : at + block].astype("<u8").view(np.uint8).reshape(-1, 8)
@@ -110,8 +113,8 @@ def bucket_links(values: np.ndarray, radius: int, small: int = 600) -> tuple[np.
     return v[linked].view(np.int64), v[root[linked]].view(np.int64)
 
 
-def near_fingerprints(nodes: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
-    """``(node, root)`` for every fingerprint of ``nodes(fp)``, distinct, that is linked to another."""
+def near_links(nodes: DataFrame, radius: int) -> DataFrame:
+    """Links ``(u, v)`` that span what is within ``radius`` bits, directly or in a chain, among the distinct ``nodes(fp)``."""
     keys = F.array(*(F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for t, m in enumerate(covering_masks(radius))))
     buckets = nodes.select("fp", F.explode(keys).alias("b")).groupBy("b.t", "b.k").agg(F.collect_list("fp").alias("fps"))
 
@@ -122,8 +125,7 @@ def near_fingerprints(nodes: DataFrame, radius: int, scratch: Scratch) -> DataFr
                 if len(member):
                     yield pd.DataFrame({"u": member, "v": root})
 
-    edges = buckets.filter(F.size("fps") > 1).select("fps").mapInPandas(links, "u long, v long")
-    return components(edges, scratch)
+    return buckets.filter(F.size("fps") > 1).select("fps").mapInPandas(links, "u long, v long")
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2) -> DataFrame:
@@ -141,33 +143,147 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def _label(rows: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
     nodes = scratch.table(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = near_fingerprints(nodes.select("fp"), radius, scratch)
+    roots = components(near_links(nodes.select("fp"), radius), scratch)
     linked = nodes.join(roots, nodes["fp"] == roots["node"]).select("fp", "root", "least")
     tops = nodes.join(roots.select("root").distinct(), F.col("fp") == F.col("root")).select("fp", "root", "least")
     members = linked.unionAll(tops)
     names = members.groupBy("root").agg(F.min("least").alias("name"))
-    renamed = members.join(names, "root").select("fp", "name")
-    out = rows.join(nodes, "fp").join(renamed, "fp", "left")
-    return out.select("doc_id", "fp", F.coalesce("name", "least").alias("component_id"), *(c for c in rows.columns if c not in ("doc_id", "fp")))
+    named = nodes.join(members.join(names, "root").select("fp", "name"), "fp", "left")
+    named = named.select("fp", F.coalesce("name", "least").alias("component_id"))
+    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+# Near copies at a given similarity.  A fingerprint of the whole text moves by many bits when a twentieth of the words change, so
+# the covering tables alone would miss such pairs; smaller fingerprints, of classes of shingles, find them.
+
 
+def class_keys(shingles: np.ndarray, tables: int = 28, seed: int = 11) -> np.ndarray:
+    """Fingerprints of classes of a text's distinct shingles.
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, radius: int = 2) -> DataFrame:
-    """``docs`` with one row of each component: the one of the smallest id (nulls last), then of the smallest
-    checksum of all columns; of rows equal in every column one stays.  All columns are returned as they were."""
+    Shingles are dealt by hash to 2^L classes of 4 to 8 each, by as many hash functions as it takes for ``tables`` classes.  Two texts of
+    similarity s agree on a class of c shingles with probability near s^c or better, and texts that share only a passage
+    hardly ever do.  A text just above a change of L has the classes of L - 1 as well, so that lengths a quarter apart meet.
+    """
+    n = len(shingles)
+    if not n:
+        return np.empty(0, np.int64)
+    level = max(1, (n // 4).bit_length() - 1)
+    levels = [level, level - 1] if level > 1 and n < 1.3 * (4 << level) else [level]
+    out = []
+    for lv in levels:
+        classes = 1 << lv
+        own = min(classes, tables)
+        for j in range(-(-tables // own)):
+            salt = np.uint64((seed + 1009 * lv + 31 * j) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+            mixed = _mixed(shingles ^ salt)
+            part = (mixed >> np.uint64(64 - lv)).astype(np.int64)
+            fine = part < own
+            sums = np.zeros(own, np.uint64)
+            np.add.at(sums, part[fine], _mixed(mixed[fine]))
+            held = np.bincount(part[fine], minlength=own) > 0
+            out.append(_mixed(sums[held] ^ salt))
+    return np.concatenate(out).view(np.int64)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A 64-bit mixing step (the finaliser of murmur3)."""
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
+
+
+def similar(a: np.ndarray, b: np.ndarray, size: int) -> float:
+    """Jaccard similarity of two shingle sets from their ``size`` least hashes, sorted: exact where neither set has more."""
+    both = np.union1d(a, b)
+    if len(a) >= size or len(b) >= size:
+        both = both[:size]
+    shared = np.intersect1d(a, b, assume_unique=True)
+    return np.isin(both, shared, assume_unique=True).sum() / len(both) if len(both) else 1.0
+
+
+SKETCHED = "doc_id long, mark long, tid long, fp long, keys array<long>, sketch binary"
+
+
+def near_copies(rows: DataFrame, scratch: Scratch, width: int, similarity: float, radius: int, sketch: int) -> DataFrame:
+    """``(doc_id, mark, tid, root)`` for every row of ``rows(doc_id, mark, text)``; ``root`` names its group."""
+
+    def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for doc_id, mark, text in zip(batch["doc_id"], batch["mark"], batch["text"], strict=True):
+                hashes = shingle_hashes(text, width)
+                sequence = xxhash.xxh3_64_intdigest(hashes.tobytes(), len(hashes))
+                single = np.unique(hashes)
+                out.append((doc_id, mark, sequence - (1 << 64) if sequence >> 63 else sequence, _signs(hashes), class_keys(single), single[:sketch].tobytes()))
+            yield pd.DataFrame(out, columns=["doc_id", "mark", "tid", "fp", "keys", "sketch"]).astype({"doc_id": "Int64"})
+
+    rows = scratch.table(rows.mapInPandas(describe, SKETCHED))
+    texts = rows.groupBy("tid").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"))
+    texts = scratch.table(texts)
+
+    # Texts that share a class are paired with the least and the greatest of those that do, never with each other.
+    member = texts.select("tid", F.explode(F.array_distinct("keys")).alias("key"))
+    ends = member.groupBy("key").agg(F.min("tid").alias("low"), F.max("tid").alias("high")).filter("low < high")
+    pairs = member.join(ends, "key")
+    pairs = pairs.select(F.col("low").alias("u"), F.col("tid").alias("v")).unionAll(pairs.select(F.col("high").alias("u"), F.col("tid").alias("v")))
+    # The covering tables add every pair of fingerprints within the radius, by way of one text each.
+    of_fp = texts.groupBy("fp").agg(F.min("tid").alias("least"))
+    near = near_links(of_fp.select("fp"), radius)
+    at = lambda name: of_fp.select(F.col("fp").alias(name), F.col("least").alias(f"{name}_text"))
+    linked = near.join(at("u"), "u").join(at("v"), "v").select(F.col("u_text").alias("u"), F.col("v_text").alias("v"))
+    same = texts.join(of_fp, "fp").select(F.col("least").alias("u"), F.col("tid").alias("v"))
+    pairs = pairs.unionAll(linked).unionAll(same).filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    pairs = scratch.table(pairs)
+
+    asked = pairs.select(F.col("u").alias("tid")).unionAll(pairs.select(F.col("v").alias("tid"))).distinct()
+    sketches = scratch.table(rows.select("tid", "sketch").join(asked, "tid", "left_semi").dropDuplicates(["tid"]))
+    both = pairs.join(sketches.select(F.col("tid").alias("u"), F.col("sketch").alias("a")), "u").join(sketches.select(F.col("tid").alias("v"), F.col("sketch").alias("b")), "v")
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            fine = [similar(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), sketch) >= similarity for a, b in zip(batch["a"], batch["b"], strict=True)]
+            yield batch.loc[fine, ["u", "v"]]
+
+    roots = components(both.mapInPandas(verify, "u long, v long"), scratch)
+    named = rows.select("doc_id", "mark", "tid").join(roots.withColumnRenamed("node", "tid"), "tid", "left")
+    return named.select("doc_id", "mark", "tid", F.coalesce("root", "tid").alias("root"))
+
+
+def near_dedup(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    width: int = 5,
+    similarity: float = 0.8,
+    radius: int = 2,
+    sketch: int = 512,
+) -> DataFrame:
+    """``docs`` with one row of each group of near copies, all columns as they were.
+
+    Two texts are linked if their sets of ``width``-word shingles have a Jaccard similarity of ``similarity`` or more (measured on the
+    ``sketch`` least hashes of the whole sets, so exactly for up to that many shingles); groups are what links reach.  Candidates are pairs within
+    ``radius`` bits of each other's SimHash, found by the covering tables without exception, and pairs that share the
+    fingerprint of a class of shingles, which a pair at the least similarity misses once in some thousands.
+
+    Of each group stays the row of the smallest id (nulls last), then of the smallest checksum of all columns; of rows equal in
+    every column one stays.  Texts without words (null, empty, white space) are copies of each other.  An empty table gives no rows.
+    """
     scratch = Scratch(docs.sparkSession, "near-dedup")
-    mark, fp = unused(docs, "mark"), unused(docs, "fp")
-    every = F.xxhash64(*(F.col(c) for c in docs.columns))
-    rows = scratch.table(docs.select(F.col(id_col).alias("doc_id"), fingerprints(F.col(text_col), width).alias("fp"), every.alias("mark")))
-    # A row is known by its id and checksum: ids alone may repeat.
-    keys = rows.select(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "mark").alias("doc_id"), "fp")
-    kept = _label(keys, radius, scratch).groupBy("component_id").agg(F.sum(F.when(F.col("doc_id") == F.col("component_id"), 1)).alias("n"))
-    kept = kept.select(F.col("component_id.doc_id").alias(fp), F.col("component_id.mark").alias(mark), "n")
-    count = unused(docs, "n")
-    kept = kept.withColumnRenamed("n", count)
-    found = docs.withColumn(mark, every).alias("d").join(kept.alias("k"), (F.col(f"d.{mark}") == F.col(f"k.{mark}")) & F.col(f"d.`{id_col}`").eqNullSafe(F.col(f"k.{fp}")))
-    columns = [F.col(f"d.`{c}`") for c in docs.columns]
-    once = found.filter(F.col(f"k.{count}") == 1).select(*columns)
-    return once.unionAll(found.filter(F.col(f"k.{count}") > 1).select(*columns).dropDuplicates())
+    hashed = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind]
+    every = F.xxhash64(*hashed)
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), every.alias("mark"), F.col(f"`{text_col}`").alias("text"))
+    groups = near_copies(rows, scratch, width, similarity, radius, sketch)
+    # A row is known by its id and checksum; rows equal in both are counted.
+    order = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "mark")
+    kept = groups.groupBy("root").agg(F.min(order).alias("first"), F.count("*").alias("size"))
+    kept = kept.select("first.doc_id", "first.mark", "size")
+    names = {c: unused(docs, c) for c in ("key", "mark", "size")}
+    kept = kept.select(F.col("doc_id").alias(names["key"]), F.col("mark").alias(names["mark"]), F.col("size").alias(names["size"]))
+    found = docs.withColumn(names["mark"], every).join(kept, names["mark"])
+    found = found.filter(F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(names["key"])))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    alone = found.filter(F.col(names["size"]) == 1).select(*columns)
+    return alone.unionAll(found.filter(F.col(names["size"]) > 1).select(*columns).dropDuplicates())
 
 
 def op8_simhash_covering(spark, sf_dir):
