@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -214,19 +215,22 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return out
 
 
+def _leaks(sent: Broadcast):
+    @F.pandas_udf("boolean")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        index = ItemIndex.build(sent.value)
+        for texts in batches:
+            yield pd.Series([bool(t) and bool(index.search(normal(t))) for t in texts], dtype="bool")
+
+    return of
+
+
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 8 << 20) -> DataFrame:
     """Rows of ``docs`` without any benchmark passage (see ``find_passages``), with all their columns as they were."""
     mark = unused(docs, "leak")
     for items in _item_blocks(benchmark, item_col, item_text_col, block_bytes):
         sent = docs.sparkSession.sparkContext.broadcast(items)
-
-        @F.pandas_udf("boolean")
-        def leaks(batches: Iterator[pd.Series], sent=sent) -> Iterator[pd.Series]:
-            index = ItemIndex.build(sent.value)
-            for texts in batches:
-                yield pd.Series([bool(t) and bool(index.search(normal(t))) for t in texts], dtype="bool")
-
-        docs = docs.withColumn(mark, leaks(F.col(text_col))).filter(~F.col(mark)).drop(mark)
+        docs = docs.withColumn(mark, _leaks(sent)(F.col(text_col))).filter(~F.col(mark)).drop(mark)
     return docs
 
 
