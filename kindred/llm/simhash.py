@@ -207,6 +207,9 @@ SKETCHED = "doc_id long, mark long, tid long, fp long, keys array<long>, sketch
 def near_copies(rows: DataFrame, scratch: Scratch, width: int, similarity: float, radius: int, sketch: int) -> DataFrame:
     """``(doc_id, mark, tid, root)`` for every row of ``rows(doc_id, mark, text)``; ``root`` names its group."""
 
+    def frame(out: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(out, columns=["doc_id", "mark", "tid", "fp", "keys", "sketch"]).astype({"doc_id": "Int64"})
+
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
@@ -215,7 +218,11 @@ def near_copies(rows: DataFrame, scratch: Scratch, width: int, similarity: float
                 sequence = xxhash.xxh3_64_intdigest(hashes.tobytes(), len(hashes))
                 single = np.unique(hashes)
                 out.append((doc_id, mark, sequence - (1 << 64) if sequence >> 63 else sequence, _signs(hashes), class_keys(single), single[:sketch].tobytes()))
-            yield pd.DataFrame(out, columns=["doc_id", "mark", "tid", "fp", "keys", "sketch"]).astype({"doc_id": "Int64"})
+                if len(out) == 1000:  # a row is up to some kilobytes
+                    yield frame(out)
+                    out = []
+            if out:
+                yield frame(out)
 
     rows = scratch.table(rows.mapInPandas(describe, SKETCHED))
     texts = rows.groupBy("tid").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"))
