@@ -37,17 +37,17 @@ def feature_vectors(features: DataFrame, dims: DataFrame | None = None, stats: D
     stats = numeric_stats(features) if stats is None else stats
     entities = features.select("entity_id").distinct()
     params = dims.select("category", *KEY, F.col("slot").startswith("=").alias("texts")).distinct()
-    # Every entity answers for every parameter: its value's slot, or the one for "missing".
-    wanted = entities.crossJoin(F.broadcast(params))
+    # Every entity answers for every parameter, by its value's slot or the one for "missing": the size of the result, not of a detour.
+    wanted = entities.crossJoin(params)
     cells = features.select("entity_id", *KEY, "value_num", squeeze(F.col("value_str")).alias("s"), F.lit(True).alias("known"))
     rows = wanted.join(cells, ["entity_id", *KEY], "left").join(stats, KEY, "left")
     text = F.coalesce(F.when(F.col("value_num").isNotNull(), F.col("value_num").cast("string")).otherwise(F.col("s")), F.lit(MISSING))
     slot = F.when(F.col("texts"), F.concat(F.lit("="), text)).otherwise(F.when(F.col("value_num").isNull(), "num_missing").otherwise("num"))
     value = F.when(slot == "num", scale(F.col("value_num"), F.col("vmin"), F.col("vmax"))).otherwise(F.lit(1.0))
     rows = rows.select("entity_id", "category", *KEY, slot.alias("slot"), value.alias("val"))
-    found = rows.join(F.broadcast(dims), ["category", *KEY, "slot"], "left")
+    found = rows.join(dims, ["category", *KEY, "slot"], "left")
     rest = dims.filter(F.col("slot") == f"={MISSING}").select("category", *KEY, F.col("idx").alias("missing_idx"))
-    found = found.join(F.broadcast(rest), ["category", *KEY], "left").withColumn("idx", F.coalesce("idx", "missing_idx"))
+    found = found.join(rest, ["category", *KEY], "left").withColumn("idx", F.coalesce("idx", "missing_idx"))
     return found.filter("val <> 0").select("entity_id", "category", "idx", "val")
 
 
