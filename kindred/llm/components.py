@@ -38,8 +38,8 @@ def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 200) -> Dat
     edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()
     edges, seen = scratch.table(edges), None
     for _ in range(max_rounds):
-        old = scratch.path
-        edges = scratch.table(_small_star(_large_star(edges)), drop=old)
+        old, edges = edges, scratch.table(_small_star(_large_star(edges)))
+        scratch.remove(old)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -191,6 +191,10 @@ def common_lines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return shared
 
 
+def _host(key: str) -> str:
+    return key.split("\0", 1)[0].split("/", 1)[0]
+
+
 def _path_overlap(a: str, b: str) -> tuple[int, int]:
     """How near two sort keys are: shared leading path segments, then shared leading characters."""
     x, y = a.split("/"), b.split("/")
@@ -205,7 +209,7 @@ def main_text(lines: list[tuple[str, int, str]], keys: np.ndarray, other: np.nda
     shared = common_lines(keys, other) if other is not None else np.zeros(len(lines), bool)
     own = (kinds == IN_ARTICLE) if (kinds == IN_ARTICLE).any() else np.zeros(len(lines), bool)
     plain = kinds == TEXT
-    if not own.any() and shared[plain].sum() * 2 > plain.sum():
+    if shared[plain].all():
         shared[:] = False  # the same page at two URLs: differencing says nothing about it
     keep = own | (plain & ~shared & ~own.any())
     return "\n".join(t for (t, _, _), k in zip(lines, keep, strict=True) if k)
@@ -269,7 +273,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         def done(before, page, after):
             text = ""
             if page[3]:
-                sides = [s for s in (before, after) if s and s[0] == page[0]]
+                sides = [s for s in (before, after) if s and _host(s[1]) == _host(page[1])]
                 side = max(sides, key=lambda s: _path_overlap(page[1], s[1]), default=None)
                 text = main_text(page[3], page[4], side[4] if side else None)
             return page[2], page[5], text, len(text)
@@ -278,7 +282,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             out = []
             for r in batch.itertuples(index=False):
                 lines = page_lines(r.html)
-                new = (r.range, getattr(r, "k"), r.page_id, lines, np.array([_key(x) for x in lines], np.uint64), r.url, r.real)
+                new = (r.range, r.k, r.page_id, lines, np.array([_key(x) for x in lines], np.uint64), r.url, r.real)
                 if now and now[6]:
                     out.append(done(last, now, new))
                 last, now = now, new

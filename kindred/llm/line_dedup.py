@@ -189,6 +189,7 @@ def drop_repeated_lines(
     asked = probes.select(shard, "chunk", "h", "fp")
     drops = index.groupBy("shard").cogroup(asked.groupBy("shard")).applyInPandas(_probe_shard, "chunk long, h long, fp long, first long, n long")
     drops = scratch.table(drops)
+    scratch.remove(probes, index)
     return (
         docs.groupBy("chunk")
         .cogroup(drops.groupBy("chunk"))

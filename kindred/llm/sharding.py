@@ -101,6 +101,7 @@ def assign_shards(
     n_cells = max(8, -(-int(total[2]) // (n_shards * rows_per_cell)))
     out = out.withColumn("cell", F.pmod(F.xxhash64("row", F.lit(1)), F.lit(n_cells)).cast("int"))
     out = scratch.table(out.select("doc_id", "size", "text_crc32", "tokens", "row", "shard", "cell"))
+    scratch.remove(rows, groups)
     ends = out.groupBy("shard", "cell").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     starts = ends.select("shard", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))

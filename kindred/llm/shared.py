@@ -25,20 +25,23 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        self.n = 0
-
-    def table(self, df: DataFrame, drop: str | None = None) -> DataFrame:
-        """Write ``df`` and return it as read back; ``drop`` names an earlier table that is no longer needed."""
-        self.n += 1
-        self.path = f"{self.root}/{self.n}"
-        df.write.parquet(self.path)
-        if drop:
-            self.remove(drop)
-        return self.spark.read.schema(df.schema).parquet(self.path)
-
-    def remove(self, path: str) -> None:
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+        self.paths: dict[int, str] = {}
+        self.kept: list[DataFrame] = []
+
+    def table(self, df: DataFrame) -> DataFrame:
+        """Write ``df`` and return it as read back."""
+        path = f"{self.root}/{len(self.paths)}"
+        df.write.parquet(path)
+        written = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(written)] = path
+        self.kept.append(written)  # so that no other table gets its id
+        return written
+
+    def remove(self, *tables: DataFrame) -> None:
+        """Delete written tables that nothing needs any more."""
+        for t in tables:
+            where = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths[id(t)])
+            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def unused(df: DataFrame, name: str) -> str:

@@ -197,8 +197,7 @@ def similar(a: np.ndarray, b: np.ndarray, size: int) -> float:
     both = np.union1d(a, b)
     if len(a) >= size or len(b) >= size:
         both = both[:size]
-    shared = np.intersect1d(a, b, assume_unique=True)
-    return np.isin(both, shared, assume_unique=True).sum() / len(both) if len(both) else 1.0
+    return np.isin(both, np.intersect1d(a, b)).sum() / len(both) if len(both) else 1.0
 
 
 SKETCHED = "doc_id long, mark long, tid long, fp long, keys array<long>, sketch binary"
@@ -217,7 +216,7 @@ def near_copies(rows: DataFrame, scratch: Scratch, width: int, similarity: float
                 hashes = shingle_hashes(text, width)
                 sequence = xxhash.xxh3_64_intdigest(hashes.tobytes(), len(hashes))
                 single = np.unique(hashes)
-                out.append((doc_id, mark, sequence - (1 << 64) if sequence >> 63 else sequence, _signs(hashes), class_keys(single), single[:sketch].tobytes()))
+                out.append((doc_id, mark, sequence - (1 << 64) if sequence >> 63 else sequence, _signs(hashes), class_keys(single), (single[:sketch] >> np.uint64(32)).astype("<u4").tobytes()))
                 if len(out) == 1000:  # a row is up to some kilobytes
                     yield frame(out)
                     out = []
@@ -225,21 +224,20 @@ def near_copies(rows: DataFrame, scratch: Scratch, width: int, similarity: float
                 yield frame(out)
 
     rows = scratch.table(rows.mapInPandas(describe, SKETCHED))
-    texts = rows.groupBy("tid").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"))
-    texts = scratch.table(texts)
+    texts = scratch.table(rows.groupBy("tid").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys")))
 
-    # Texts that share a class are paired with the least and the greatest of those that do, never with each other.
-    member = texts.select("tid", F.explode(F.array_distinct("keys")).alias("key"))
+    # Texts that share a class are paired with the least and the greatest of those that do, never with each other.  The rows are
+    # dealt by key once, for both the ends and the pairs.
+    member = texts.select("tid", F.explode(F.array_distinct("keys")).alias("key")).repartition("key")
     ends = member.groupBy("key").agg(F.min("tid").alias("low"), F.max("tid").alias("high")).filter("low < high")
-    pairs = member.join(ends, "key")
-    pairs = pairs.select(F.col("low").alias("u"), F.col("tid").alias("v")).unionAll(pairs.select(F.col("high").alias("u"), F.col("tid").alias("v")))
+    pairs = member.join(ends, "key").select(F.col("tid").alias("v"), F.explode(F.array("low", "high")).alias("u"))
     # The covering tables add every pair of fingerprints within the radius, by way of one text each.
     of_fp = texts.groupBy("fp").agg(F.min("tid").alias("least"))
     near = near_links(of_fp.select("fp"), radius)
     at = lambda name: of_fp.select(F.col("fp").alias(name), F.col("least").alias(f"{name}_text"))
     linked = near.join(at("u"), "u").join(at("v"), "v").select(F.col("u_text").alias("u"), F.col("v_text").alias("v"))
     same = texts.join(of_fp, "fp").select(F.col("least").alias("u"), F.col("tid").alias("v"))
-    pairs = pairs.unionAll(linked).unionAll(same).filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    pairs = pairs.unionByName(linked).unionByName(same).filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     pairs = scratch.table(pairs)
 
     asked = pairs.select(F.col("u").alias("tid")).unionAll(pairs.select(F.col("v").alias("tid"))).distinct()
@@ -248,12 +246,14 @@ def near_copies(rows: DataFrame, scratch: Scratch, width: int, similarity: float
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            fine = [similar(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), sketch) >= similarity for a, b in zip(batch["a"], batch["b"], strict=True)]
+            fine = [similar(np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4"), sketch) >= similarity for a, b in zip(batch["a"], batch["b"], strict=True)]
             yield batch.loc[fine, ["u", "v"]]
 
     roots = components(both.mapInPandas(verify, "u long, v long"), scratch)
     named = rows.select("doc_id", "mark", "tid").join(roots.withColumnRenamed("node", "tid"), "tid", "left")
-    return named.select("doc_id", "mark", "tid", F.coalesce("root", "tid").alias("root"))
+    named = scratch.table(named.select("doc_id", "mark", "tid", F.coalesce("root", "tid").alias("root")))
+    scratch.remove(rows, texts, pairs, sketches)
+    return named
 
 
 def near_dedup(

@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from .shared import Scratch, table
 
 # Titles that go before a name, by the gender they tell.
-MALE_TITLES = "Mr|Herr|Hr|Monsieur|Señor|Sr|Signor|Sig|Sir|Господин|г-н"
-FEMALE_TITLES = "Mrs|Ms|Miss|Frau|Fr|Madame|Mme|Mlle|Señora|Sra|Señorita|Srta|Signora|Sig\\.ra|Госпожа|г-жа"
+MALE = "Mr Herr Hr Monsieur Señor Sr Signor Sig Sir Господин Г-н г-н".split()
+FEMALE = "Mrs Ms Miss Frau Fr Madame Mme Mlle Señora Sra Señorita Srta Signora Госпожа Г-жа г-жа".split()
+MALE_TITLES, FEMALE_TITLES = ("|".join(dict.fromkeys([*words, *(w.upper() for w in words)])) for words in (MALE, FEMALE))
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 # One pattern a type, tried in this order at each place.
 PATTERNS = {

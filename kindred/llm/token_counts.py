@@ -93,7 +93,8 @@ def separator_scan(blocks: DataFrame, eod: int, dtype: str = "<u2", scratch: Scr
 
 def write_flat(docs: DataFrame, scratch: Scratch, ranks: dict[bytes, int], eod: int, id_col: str, text_col: str, block_ids: int) -> tuple[DataFrame, DataFrame]:
     """Tokenised documents as flat token blocks ``(file, block, ids)``, one file for each input partition, and the order of their
-    ids ``(file, start, doc_ids)``; both written to the shared folder."""
+    ids ``(file, start, doc_ids)``; both written to the shared folder.  The first table has rows of block -1 as well, which hold
+    no tokens."""
     sent = docs.sparkSession.sparkContext.broadcast(ranks)  # the size of a vocabulary, whatever the corpus
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -126,7 +127,7 @@ def write_flat(docs: DataFrame, scratch: Scratch, ranks: dict[bytes, int], eod:
 
     ids = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text"))
     flat = scratch.table(ids.mapInPandas(encode, "file string, block long, ids binary, start long, doc_ids array<string>"))
-    return flat.filter("block >= 0").select("file", "block", "ids"), flat.filter("block < 0").select("file", "start", "doc_ids")
+    return flat, scratch.table(flat.filter("block < 0").select("file", "start", "doc_ids"))
 
 
 def pieces(text: str, most: int = 1 << 22) -> Iterator[str]:
@@ -159,7 +160,8 @@ def count_tokens(
         raise ValueError(f"{vocabulary} leaves no free id of 16 bits")
     scratch = Scratch(docs.sparkSession, "tokens")
     blocks, order = write_flat(docs, scratch, ranks, eod, id_col, text_col, block_ids)
-    counts = separator_scan(blocks, eod, scratch=scratch)
+    counts = separator_scan(blocks.filter("block >= 0"), eod, scratch=scratch)
+    scratch.remove(blocks)
     ids = order.select("file", "start", F.posexplode("doc_ids").alias("i", "doc_id")).select("file", (F.col("start") + F.col("i")).alias("ordinal"), "doc_id")
     kind = docs.schema[id_col].dataType
     return ids.join(counts, ["file", "ordinal"]).select(F.col("doc_id").cast(kind).alias("doc_id"), "n_tokens")
