@@ -168,10 +168,14 @@ def autoencoder_top_k(vecs: DataFrame, query_id, k: int = 5, weights: dict[str,
 # --- spherical k-means -----------------------------------------------------------------------------------------
 
 
+def _literal(rows: list[list[float]]) -> Column:
+    """A matrix as a constant, parsed in one go."""
+    return F.expr("array(" + ",".join("array(" + ",".join(f"{float(x)!r}D" for x in row) + ")" for row in rows) + ")")
+
+
 def _nearest(vec: Column, centroids: list[list[float]]) -> Column:
     """Number of the centroid with the greatest dot product, the lowest of equals."""
-    literal = F.array(*(F.array(*map(F.lit, map(float, c))) for c in centroids))
-    scores = F.transform(literal, lambda c: dot(vec, c))
+    scores = F.transform(_literal(centroids), lambda c: dot(vec, c))
     return (F.array_position(scores, F.array_max(scores)) - 1).cast("int")
 
 
@@ -210,11 +214,13 @@ def spherical_kmeans(vecs: DataFrame, clusters: int = 5, seed: int = 42, max_ite
         centroids, k = [got[i] for i in initial], len(initial)
     label = F.lit(0)
     for _ in range(max_iter):
+        # One job an iteration: means by new label, and whether any row's label is new.
         new = _nearest(F.col("vec"), centroids)
-        if not unit_rows.filter(new != label).limit(1).count():
+        rows = unit_rows.select(new.alias("cluster"), (new != label).alias("moved"), F.posexplode("vec").alias("i", "v"))
+        means = rows.groupBy("cluster", "i").agg(F.avg("v").alias("m"), F.bool_or("moved").alias("moved")).collect()
+        if not any(r["moved"] for r in means):
             break
         label = new
-        means = unit_rows.select(label.alias("cluster"), F.posexplode("vec").alias("i", "v")).groupBy("cluster", "i").agg(F.avg("v").alias("m")).collect()
         by: dict[int, dict[int, float]] = {}
         for r in means:
             by.setdefault(r["cluster"], {})[r["i"]] = r["m"]
@@ -243,7 +249,7 @@ def kmeans_similarity(cos: Column, cluster_a: Column, cluster_b: Column, centroi
     c = np.array(centroids, float).reshape(len(centroids), -1)
     size = np.linalg.norm(c, axis=1)
     cosines = np.divide(c @ c.T, np.outer(size, size), out=np.zeros((len(c), len(c))), where=np.outer(size, size) > 0)
-    across = F.array(*(F.array(*map(F.lit, map(float, 0.5 * (row + 1) / 2))) for row in cosines))
+    across = _literal((0.5 * (cosines + 1) / 2).tolist())
     return F.when(cluster_a == cluster_b, unit(cos)).otherwise(across[cluster_a][cluster_b])
 
 

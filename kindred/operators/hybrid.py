@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import CATEGORIES, DEFAULT_WEIGHTS, SHORT
-from .embeddings import autoencoder_embeddings, kmeans_scores, pca_embeddings
-from .rule import rule_scores, top_k
-from .vectors import dense, dense_scores, feature_dims, feature_vectors, vector_scores
+from .embeddings import autoencoder_embeddings, kmeans_models, kmeans_pairs, kmeans_scores, pca_embeddings
+from .rule import rule_pairs, rule_scores, top_k
+from .validate import hybrid_pairs, label
+from .vectors import _wide, dense, dense_pairs, dense_scores, feature_dims, feature_vectors, vector_pairs, vector_scores
 
 SIMS = [f"sim_{SHORT[c]}" for c in CATEGORIES] + ["sim_total"]
 
@@ -59,3 +60,36 @@ def hybrid_top_k(features: DataFrame, query_id: str, method_weights: dict[str, f
 def compare_methods(features: DataFrame, query_id: str, k: int = 5, weights: dict[str, float] = DEFAULT_WEIGHTS, latent: int = 16, clusters: int = 5) -> DataFrame:
     """All five methods side by side, each with a fifth of the weight."""
     return hybrid_top_k(features, query_id, {m: 0.2 for m in METHODS}, k, weights, latent, clusters)
+
+
+def method_pairs(
+    features: DataFrame,
+    weights: dict[str, float] = DEFAULT_WEIGHTS,
+    methods: tuple[str, ...] = ("rule", "vector", "pca", "autoencoder", "kmeans"),
+    latent: int = 16,
+    clusters: int = 5,
+    hybrid: dict[str, float] | None = None,
+) -> DataFrame:
+    """``(a, b, method, sim)`` with the total similarity of every pair a < b by each method, and by the weighted combination
+    ``hybrid`` if given: the table that all of ``validate`` works on.
+
+    Dense vectors and their pairs are made once for the methods that need them."""
+    out = []
+    if "rule" in methods:
+        out.append(label(rule_pairs(features, weights), "rule"))
+    dims = feature_dims(features)
+    cells = feature_vectors(features, dims)
+    if "vector" in methods:
+        out.append(label(vector_pairs(cells, weights), "vector"))
+    vecs = dense(cells, dims).cache() if {"pca", "autoencoder", "kmeans"} & set(methods) else None
+    if "pca" in methods:
+        out.append(label(_wide(dense_pairs(pca_embeddings(vecs, latent)), ["a", "b"], weights), "pca"))
+    if "autoencoder" in methods:
+        out.append(label(_wide(dense_pairs(autoencoder_embeddings(vecs, latent)), ["a", "b"], weights, zero_unused=True), "autoencoder"))
+    if "kmeans" in methods:
+        found = kmeans_pairs(dense_pairs(vecs), vecs, kmeans_models(vecs, clusters))
+        out.append(label(_wide(found, ["a", "b"], weights, zero_unused=True), "kmeans"))
+    pairs = out[0]
+    for more in out[1:]:
+        pairs = pairs.unionAll(more)
+    return pairs.unionAll(hybrid_pairs(pairs, hybrid)) if hybrid else pairs

@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..model import CATEGORIES, DEFAULT_WEIGHTS, GEOMETRY, SHORT, from_embeddings
+from ..model import CATEGORIES, DEFAULT_WEIGHTS, GEOMETRY, SHORT, category, from_embeddings
 from ..operators import embeddings as E
 from ..operators import flatten, generate, graph, hybrid, rule, validate, vectors, weights
 from ..operators import profile as P
+from ..sources import writers
 from . import inputs as I
 from .inputs import QUERY_ID, table
 
@@ -331,6 +332,12 @@ def hybrid_pairs(spark, d):
     return rounded(validate.hybrid_pairs(_supplier_pairs(spark, d), {"rule": 0.5, "vector": 0.3}))
 
 
+@query()
+def method_pairs(spark, d):
+    pairs = hybrid.method_pairs(I.supplier_features(spark, d), methods=("rule", "vector", "pca", "kmeans"), latent=4, hybrid={"pca": 0.5, "kmeans": 0.5})
+    return validate.pair_stats(pairs)
+
+
 # --- profile ---------------------------------------------------------------------------------------------------
 
 AREA = (
@@ -513,6 +520,23 @@ def triples_features(spark, d):
     return graph.features_of(graph.instances(I.part_facts(spark, d)))
 
 
+@query(f"""WITH {I.FACTS}, c AS (SELECT DISTINCT CASE c WHEN 'C_WELLE' THEN 'Welle' WHEN 'C_LUEFTER' THEN 'Lüfter' ELSE 'Other' END AS n FROM ft), q AS (SELECT DISTINCT p FROM ft), x AS (
+  SELECT n AS name, n AS label, 'Artefact' AS parent FROM c UNION ALL SELECT replace(trim(p), ' ', '_'), p, 'Parameter' FROM q UNION ALL SELECT 'Parameter', 'Parameter', 'Object')
+ SELECT DISTINCT '{NS}' || name AS s, '{graph.SUBCLASS}' AS p, '{NS}' || parent AS o, true AS o_is_iri, NULL AS datatype FROM x UNION ALL SELECT DISTINCT '{NS}' || name, '{graph.LABEL}', label, false, NULL FROM x""")
+def triples_classes(spark, d):
+    return graph.classes_of_facts(I.part_facts(spark, d))
+
+
+@query(f"""WITH {INSTANCES} SELECT '<' || s || '> <' || p || '> ' || CASE WHEN o_is_iri THEN '<' || o || '>' ELSE '"' || o || '"' || coalesce('^^<' || datatype || '>', '') END || ' .' AS value FROM tr""")
+def triples_text(spark, d):
+    return writers.n_triples(graph.instances(I.part_facts(spark, d)))
+
+
+@query(f"""WITH {VOTE}, {NUMERIC}, {CATEGORICAL}, {SCORED} SELECT parameter, replace(CAST(coverage AS VARCHAR), '.', ',') AS coverage, replace(CAST(score AS VARCHAR), '.', ',') AS score FROM sc""")
+def profile_export(spark, d):
+    return writers.german(_scored(spark, d).select("parameter", "coverage", "score"))
+
+
 def _survey(spark, d):
     """Edges between components named in free text, from nations."""
     n = table(spark, d, "nation")
@@ -630,6 +654,19 @@ def param_ids(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("k"), C.param_id_from_path(path).alias("param"))
 
 
+@query("""SELECT o_orderkey AS k, ['GEOM', 'DYN', 'MISC', 'MTRL', 'MISC'][CAST(o_orderkey % 5 AS INT) + 1] AS ptype, ['K_GEOM_MECH', 'K_GEOM_MECH', 'K_REQ_ELEC', 'K_MTRL_PROC', 'K_REQ_ELEC'][CAST(o_orderkey % 5 AS INT) + 1] AS category,
+ ['Gleitlager', 'Simocalc (Output)', 'Sonstige', 'Lager (Input)'][CAST(o_orderkey % 4 AS INT) + 1] AS area, CASE WHEN r >= 0.7 THEN 'stark' WHEN r >= 0.4 THEN 'moderat' ELSE 'schwach' END AS agreement,
+ CASE WHEN abs(r) >= 0.9 THEN 'sehr stark' WHEN abs(r) >= 0.7 THEN 'stark' WHEN abs(r) >= 0.5 THEN 'moderat' WHEN abs(r) >= 0.3 THEN 'schwach' ELSE 'vernachlässigbar' END AS strength,
+ CASE WHEN abs(r) < 0.001 THEN '***' WHEN abs(r) < 0.01 THEN '**' WHEN abs(r) < 0.05 THEN '*' ELSE 'n.s.' END AS stars FROM (SELECT *, (o_orderkey % 201 - 100) / 100.0::DOUBLE AS r FROM orders)""")
+def labels(spark, d):
+    k = F.col("o_orderkey")
+    pick = lambda words: F.element_at(F.array(*map(F.lit, words)), (k % len(words) + 1).cast("int"))
+    ptype = C.heading_ptype(pick(["Geometrie", "Dynamik", "?", "Material/Masse", ""]))
+    path = pick(["x.sleeve_bearing.y", "SimocalcWorkflow.x", "abc", "RotorWorkflow.input.bearing_properties.x"])
+    r = (k % 201 - 100) / F.lit(100.0)
+    return table(spark, d, "orders").select(k.alias("k"), ptype.alias("ptype"), category(ptype).alias("category"), C.area(path).alias("area"), C.agreement(r).alias("agreement"), C.correlation_strength(r).alias("strength"), C.stars(F.abs(r)).alias("stars"))
+
+
 SPECS = [
     ("P_WELLE_LAENGE", "C_WELLE", "GEOM", "numeric", "mm", ""),
     ("P_WELLE_RAUHEIT", "C_WELLE", "MFG", "numeric", "µm", ""),
