@@ -173,10 +173,34 @@ def _literal(rows: list[list[float]]) -> Column:
     return F.expr("array(" + ",".join("array(" + ",".join(f"{float(x)!r}D" for x in row) + ")" for row in rows) + ")")
 
 
-def _nearest(vec: Column, centroids: list[list[float]]) -> Column:
-    """Number of the centroid with the greatest dot product, the lowest of equals."""
-    scores = F.transform(_literal(centroids), lambda c: dot(vec, c))
-    return (F.array_position(scores, F.array_max(scores)) - 1).cast("int")
+def _assign(x: np.ndarray, centroids: list | None) -> np.ndarray:
+    """Number of each row's centroid with the greatest dot product, the lowest of equals; before any, 0."""
+    return np.zeros(len(x), int) if centroids is None else np.argmax(x @ np.array(centroids).T, axis=1)
+
+
+def _label(vec: Column, centroids: list | None) -> Column:
+    @F.pandas_udf("int")
+    def of(vectors: pd.Series) -> pd.Series:
+        return pd.Series(_assign(np.stack(vectors.to_numpy()), centroids), dtype="int32")
+
+    return of(vec) if centroids is not None else F.lit(0)
+
+
+def _means(rows: DataFrame, now: list, before: list | None) -> list:
+    """``(cluster, i, m, moved)``: members' means by cluster and dimension, and whether any member was elsewhere before.  Each task sums
+    up its own rows."""
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                x = np.stack(batch["vec"].to_numpy())
+                new, old = _assign(x, now), _assign(x, before)
+                for c in np.unique(new):
+                    own = new == c
+                    yield pd.DataFrame({"cluster": c, "i": np.arange(x.shape[1]), "s": x[own].sum(axis=0), "n": int(own.sum()), "moved": bool((old[own] != c).any())})
+
+    parts = rows.select("vec").mapInPandas(sums, "cluster int, i int, s double, n long, moved boolean")
+    return parts.groupBy("cluster", "i").agg((F.sum("s") / F.sum("n")).alias("m"), F.bool_or("moved").alias("moved")).collect()
 
 
 @dataclass(frozen=True)
@@ -212,15 +236,13 @@ def spherical_kmeans(vecs: DataFrame, clusters: int = 5, seed: int = 42, max_ite
     else:
         got = {r["entity_id"]: list(r["vec"]) for r in unit_rows.filter(F.col("entity_id").isin(initial)).collect()}
         centroids, k = [got[i] for i in initial], len(initial)
-    label = F.lit(0)
+    before = None
     for _ in range(max_iter):
-        # One job an iteration: means by new label, and whether any row's label is new.
-        new = _nearest(F.col("vec"), centroids)
-        rows = unit_rows.select(new.alias("cluster"), (new != label).alias("moved"), F.posexplode("vec").alias("i", "v"))
-        means = rows.groupBy("cluster", "i").agg(F.avg("v").alias("m"), F.bool_or("moved").alias("moved")).collect()
+        # One job an iteration; former labels are recomputed from former centroids.
+        means = _means(unit_rows, centroids, before)
         if not any(r["moved"] for r in means):
             break
-        label = new
+        before = centroids
         by: dict[int, dict[int, float]] = {}
         for r in means:
             by.setdefault(r["cluster"], {})[r["i"]] = r["m"]
@@ -232,7 +254,7 @@ def spherical_kmeans(vecs: DataFrame, clusters: int = 5, seed: int = 42, max_ite
                 centroids.append((mean / size if size else mean).tolist())
             else:
                 centroids.append(at([int(rng.integers(0, n))])[0])
-    return Clusters(unit_rows.select("entity_id", "category", label.cast("int").alias("cluster")), centroids)
+    return Clusters(unit_rows.select("entity_id", "category", _label(F.col("vec"), before).cast("int").alias("cluster")), centroids)
 
 
 def kmeans_models(vecs: DataFrame, clusters: int = 5, seed: int = 42, max_iter: int = 50) -> dict[str, Clusters]:
