@@ -203,8 +203,9 @@ def similar(a: np.ndarray, b: np.ndarray, size: int) -> float:
 SKETCHED = "doc_id long, mark long, tid long, fp long, keys array<long>, sketch binary"
 
 
-def near_copies(rows: DataFrame, scratch: Scratch, width: int, similarity: float, radius: int, sketch: int) -> DataFrame:
-    """``(doc_id, mark, tid, root)`` for every row of ``rows(doc_id, mark, text)``; ``root`` names its group."""
+def near_copies(rows: DataFrame, scratch: Scratch, width: int, similarity: float, radius: int, sketch: int) -> tuple[DataFrame, DataFrame]:
+    """``(doc_id, mark, tid)`` for every row of ``rows(doc_id, mark, text)``, ``tid`` naming its text, and ``(tid, root)`` for the
+    texts that are linked to another; ``root`` names the group."""
 
     def frame(out: list[tuple]) -> pd.DataFrame:
         return pd.DataFrame(out, columns=["doc_id", "mark", "tid", "fp", "keys", "sketch"]).astype({"doc_id": "Int64"})
@@ -250,10 +251,9 @@ def near_copies(rows: DataFrame, scratch: Scratch, width: int, similarity: float
             yield batch.loc[fine, ["u", "v"]]
 
     roots = components(both.mapInPandas(verify, "u long, v long"), scratch)
-    named = rows.select("doc_id", "mark", "tid").join(roots.withColumnRenamed("node", "tid"), "tid", "left")
-    named = scratch.table(named.select("doc_id", "mark", "tid", F.coalesce("root", "tid").alias("root")))
+    named = scratch.table(rows.select("doc_id", "mark", "tid"))
     scratch.remove(rows, texts, pairs, sketches)
-    return named
+    return named, roots.withColumnRenamed("node", "tid")
 
 
 def near_dedup(
@@ -279,10 +279,11 @@ def near_dedup(
     hashed = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind]
     every = F.xxhash64(*hashed)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), every.alias("mark"), F.col(f"`{text_col}`").alias("text"))
-    groups = near_copies(rows, scratch, width, similarity, radius, sketch)
-    # A row is known by its id and checksum; rows equal in both are counted.
+    named, roots = near_copies(rows, scratch, width, similarity, radius, sketch)
+    # A row is known by its id and checksum; rows equal in both are counted.  Copies of a text are summed up before groups are joined.
     order = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "mark")
-    kept = groups.groupBy("root").agg(F.min(order).alias("first"), F.count("*").alias("size"))
+    texts = named.groupBy("tid").agg(F.min(order).alias("first"), F.count("*").alias("size"))
+    kept = texts.join(roots, "tid", "left").groupBy(F.coalesce("root", "tid").alias("root")).agg(F.min("first").alias("first"), F.sum("size").alias("size"))
     kept = kept.select("first.doc_id", "first.mark", "size")
     names = {c: unused(docs, c) for c in ("key", "mark", "size")}
     kept = kept.select(F.col("doc_id").alias(names["key"]), F.col("mark").alias(names["mark"]), F.col("size").alias(names["size"]))
