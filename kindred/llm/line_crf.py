@@ -90,6 +90,15 @@ def marginals(score: np.ndarray, pair: np.ndarray) -> np.ndarray:
     return _sigmoid(_messages(score, pair) + score + _messages(score[::-1], pair.T)[::-1])
 
 
+def expected_pairs(score: np.ndarray, pair: np.ndarray) -> np.ndarray:
+    """Expected number of each pair of neighbouring labels, given all lines."""
+    left = (_messages(score, pair) + score)[:-1]
+    right = (_messages(score[::-1], pair.T)[::-1] + score)[1:]
+    log = np.stack([np.full(len(left), pair[0, 0]), pair[0, 1] + right, pair[1, 0] + left, pair[1, 1] + left + right])
+    p = np.exp(log - log.max(axis=0, initial=-np.inf))
+    return (p / p.sum(axis=0)).sum(axis=1).reshape(2, 2)
+
+
 def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
 
@@ -113,7 +122,7 @@ class LineField:
 
 
 def fit(texts: list[str | None], labels: list[int], steps: int = 80, ridge: float = 1e-3, tie: float = 2.0) -> LineField:
-    """Field fitted by Adam on the log likelihood of the line labels, each document weighing one.
+    """Field fitted by Adam on the log likelihood of the line labels, a document's divided by its lines.
 
     All lines of a training document share its label, which alone would make the chain infinitely stiff; the pair weights are
     therefore held within ``tie``.  With labels of one kind only, or none, every document gets that
@@ -131,7 +140,7 @@ def fit(texts: list[str | None], labels: list[int], steps: int = 80, ridge: floa
     ends = np.cumsum(sizes)
     starts = ends - sizes
     y = np.repeat(np.array(labels, float), sizes)
-    mass = np.concatenate([n / n.sum() for _, n in feats]) / len(texts)
+    mass = np.repeat(1 / (sizes * len(texts)), sizes)
     moment, square = np.zeros(width + 4), np.zeros(width + 4)
     for step in range(1, steps + 1):
         score = x @ w
@@ -140,12 +149,8 @@ def fit(texts: list[str | None], labels: list[int], steps: int = 80, ridge: floa
         for a, b, label in zip(starts, ends, labels, strict=True):
             p[a:b] = marginals(score[a:b], pair)
             if b - a > 1:
-                # Expected pairs from the marginals, as if neighbours were independent given the field: enough to set stiffness.
-                q = p[a:b]
-                e = np.array([[(1 - q[:-1]) @ (1 - q[1:]), (1 - q[:-1]) @ q[1:]], [q[:-1] @ (1 - q[1:]), q[:-1] @ q[1:]]])
-                seen = np.zeros((2, 2))
-                seen[label, label] = b - a - 1
-                pairs += (seen - e) / (b - a) / len(texts)
+                pairs[label, label] += (b - a - 1) / (b - a) / len(texts)
+                pairs -= expected_pairs(score[a:b], pair) / (b - a) / len(texts)
         gradient = np.concatenate([x.T @ ((y - p) * mass) - ridge * w, pairs.ravel() - ridge * pair.ravel()])
         moment = 0.9 * moment + 0.1 * gradient
         square = 0.99 * square + 0.01 * gradient**2

@@ -15,12 +15,15 @@ def test_marginals_against_enumeration():
     for _ in range(40):
         n = int(rng.integers(1, 7))
         score, pair = rng.normal(0, 3, n), rng.normal(0, 2, (2, 2))
-        total, good = 0.0, np.zeros(n)
+        total, good, pairs = 0.0, np.zeros(n), np.zeros((2, 2))
         for y in itertools.product((0, 1), repeat=n):
             w = np.exp(sum(s for s, v in zip(score, y, strict=True) if v) + sum(pair[a, b] for a, b in itertools.pairwise(y)))
             total += w
             good += w * np.array(y)
+            for a, b in itertools.pairwise(y):
+                pairs[a, b] += w
         assert L.marginals(score, pair) == pytest.approx(good / total)
+        assert L.expected_pairs(score, pair) == pytest.approx(pairs / total)
 
 
 def test_extreme_scores_do_not_overflow():
