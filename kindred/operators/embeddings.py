@@ -26,8 +26,8 @@ def pca_embeddings(vecs: DataFrame, latent: int = 16) -> DataFrame:
 
     There are at most as many components as rows or dimensions; signs are arbitrary, which cosines do not see."""
     out = None
-    # No number becomes zero, as the covariance could not be formed otherwise.
-    clean = vecs.withColumn("vec", F.transform("vec", lambda v: F.when(F.isnan(v) | (F.abs(v) == float("inf")), 0.0).otherwise(v)))
+    # What is no number becomes zero, as the covariance could not be formed otherwise.  Each category is read several times.
+    clean = vecs.withColumn("vec", F.transform("vec", lambda v: F.when(F.isnan(v) | (F.abs(v) == float("inf")), 0.0).otherwise(v))).cache()
     shape = clean.groupBy("category").agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("p")).orderBy("category").collect()
     for r in shape:
         k = min(latent, r["n"], r["p"] or 0)
