@@ -552,7 +552,19 @@ def _survey(spark, d):
     )
 
 
-@query()
+@query(f"""WITH k AS (SELECT n_nationkey AS k, n_name FROM nation),
+ r AS (SELECT ['Welle', 'Aktivteil', 'Der Lüfter', 'Kunde', 'Blechpaket'][k % 5 + 1] AS source, ['C_WELLE', 'C_AKTIVTEIL', 'C_LUEFTER', NULL, 'C_BLECHPAKET'][k % 5 + 1] AS f,
+   ['Beeinflusst', 'Anfordert'][k % 2 + 1] AS relation, ['Wuchtscheiben', 'Wellenende', 'Kosten'][k % 3 + 1] AS target, ['C_WUCHTSCHEIBEN', 'C_WELLE', NULL][k % 3 + 1] AS t,
+   ['hoch', 'mittel', 'niedrig'][k % 3 + 1] AS strength, CAST(CAST(k AS DOUBLE) / 100 AS VARCHAR) AS percentage, n_name AS note FROM k),
+ e AS (SELECT *, '{NS}' || source || '_' || relation || '_' || target || '_1' AS edge FROM r WHERE f IS NOT NULL)
+ SELECT DISTINCT * FROM (SELECT '{NS}' || source || '_1' AS s, '{graph.RDF_TYPE}' AS p, '{NS}Feature' AS o, true AS o_is_iri, NULL AS datatype FROM r WHERE f IS NULL
+  UNION ALL SELECT '{NS}' || target || '_1', '{graph.RDF_TYPE}', '{NS}Feature', true, NULL FROM e WHERE t IS NULL
+  UNION ALL SELECT edge, '{graph.RDF_TYPE}', '{graph.OBJECT_PROPERTY}', true, NULL FROM e
+  UNION ALL SELECT edge, '{graph.LABEL}', substr(edge, {len(graph.NAMESPACE) + 1}), false, '{graph.XSD_STRING}' FROM e
+  UNION ALL SELECT '{NS}' || f || '_1', edge, '{NS}' || coalesce(t, target) || '_1', true, NULL FROM e
+  UNION ALL SELECT edge, '{NS}hasStrength', strength, false, '{graph.XSD_STRING}' FROM e
+  UNION ALL SELECT edge, '{NS}hasDependencyPercentage', percentage, false, '{graph.XSD_STRING}' FROM e
+  UNION ALL SELECT edge, '{graph.COMMENT}', note, false, '{graph.XSD_STRING}' FROM e)""")
 def survey_graph(spark, d):
     return graph.survey_edges(_survey(spark, d), 1)
 
