@@ -223,12 +223,12 @@ def url_key(url: Column, page_id: Column) -> Column:
     return F.concat(host, path, F.lit("\0"), F.lpad(F.coalesce(page_id.cast("string"), F.lit("")), 20, "0"))
 
 
-def _bounds(keys: DataFrame, n: int, oversample: int = 20) -> np.ndarray:
-    """Up to n - 1 keys that cut ``keys`` into n ranges of similar size, from a sample of n * oversample keys."""
+def _bounds(keys: DataFrame, rows: int, n: int, oversample: int = 8) -> np.ndarray:
+    """Up to n - 1 keys that cut ``keys`` into n ranges of similar size, from a sample of about n * oversample rows."""
     if n < 2:
         return np.empty(0, object)
     column = keys.columns[0]
-    sample = keys.orderBy(F.xxhash64(column)).limit(n * oversample).toPandas()[column].sort_values().to_numpy()
+    sample = keys.filter(F.rand(7) < n * oversample / rows).toPandas()[column].sort_values().to_numpy()
     return np.array(sorted(set(sample[oversample::oversample])), object)
 
 
@@ -240,7 +240,7 @@ def _range_of(key: Column, bounds: np.ndarray) -> Column:
     return of(key) if len(bounds) else F.lit(0)
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rows_per_range: int = 500, max_ranges: int = 20_000) -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rows_per_range: int = 500, max_ranges: int = 8192) -> DataFrame:
     """``(page_id, url, text, n_chars)`` for every row: the main text, its blocks joined by a newline.
 
     Null and empty pages, and pages without text, give an empty text.  A null URL sorts before all others and is
@@ -254,7 +254,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     key = unused(pages, "key")
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     rows = rows.withColumn(key, url_key(F.col("url"), F.col("page_id")))
-    bounds = _bounds(rows.select(key), min(max_ranges, -(-rows.count() // rows_per_range)))
+    n_rows = rows.count()
+    bounds = _bounds(rows.select(key), n_rows, min(max_ranges, -(-n_rows // rows_per_range)))
     rows = rows.withColumn("range", _range_of(F.col(key), bounds))
     # The pages next to each range: the last key before it and the first key after it.
     ends = rows.groupBy("range").agg(F.min(key).alias("low"), F.max(key).alias("high")).orderBy("range").collect()
