@@ -39,7 +39,8 @@ CLOSES_P = BLOCKS - {"option", "legend", "summary"}
 ENDED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 CONTAINERS = frozenset("ul ol menu dl table".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)", re.S)
+# Comments, declarations, tags with quotes taken into account, and tags whose quotes do not match.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 NAMED = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 WORDS = re.compile(r"[a-z]+")
@@ -88,11 +89,11 @@ def page_lines(source: str | None) -> list[tuple[str, int, str]]:
         if m.start() > at:
             parts.append(source[at : m.start()])
         at = m.end()
-        name = m[2]
+        ending, name, attributes = m.group(1, 2, 3) if m[2] else m.group(4, 5, 6)
         if name is None:
             continue
         name = name.lower()
-        if m[1]:
+        if ending:
             if name == "br":
                 parts.append(" ")
             elif name in BLOCKS:
@@ -107,8 +108,9 @@ def page_lines(source: str | None) -> list[tuple[str, int, str]]:
                     break  # an inline end tag does not reach out of its block
             continue
         if name in RAW:
-            close = re.compile(f"</{name}\\s*>", re.I).search(source, at) if not m[3].rstrip().endswith("/") else None
-            at = close.end() if close else at if m[3].rstrip().endswith("/") else end
+            if not attributes.rstrip().endswith("/"):
+                close = re.compile(f"</{name}\\s*>", re.I).search(source, at)
+                at = close.end() if close else end
             continue
         if name in BLOCKS:
             flush()
@@ -132,7 +134,7 @@ def page_lines(source: str | None) -> list[tuple[str, int, str]]:
             continue
         new = kind
         if kind != IN_FURNITURE:
-            if name in FURNITURE or name not in ARTICLE and name not in ("html", "body") and _named_furniture(m[3]):
+            if name in FURNITURE or name not in ARTICLE and name not in ("html", "body") and _named_furniture(attributes):
                 new = IN_FURNITURE
             elif name in ARTICLE:
                 new = IN_ARTICLE
