@@ -16,6 +16,15 @@ def test_blocks_and_references():
     assert got == ["T & x", "one two three", "four", "five €"]
 
 
+def test_broken_markup():
+    lines = lambda x: [t for t, _, _ in H.page_lines(x)]
+    assert lines("<p class=it's>one</p><p>two") == ["one", "two"]
+    assert lines('<p>one</p><a href="/cut off') == ["one"]
+    assert lines("<p>1 < 2 & 3</p><!-- open") == ["1 < 2 & 3"]
+    assert lines('<p title="a > b">x</p>') == ["x"]
+    assert lines("<p>a<script>b") == ["a"]
+
+
 @pytest.mark.parametrize(
     "furniture",
     [
