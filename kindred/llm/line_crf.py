@@ -207,7 +207,8 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """Rows of ``docs`` whose score reaches ``threshold``, with all their columns as they were."""
+    """Rows of ``docs`` whose score reaches ``threshold``, with all their columns as they were.  Nulls, repeated rows and empty tables
+    are as in ``quality``."""
     mark = unused(docs, "score")
     field = train(docs, labels, id_col, text_col)
     return docs.withColumn(mark, score(F.col(text_col), field)).filter(F.col(mark) >= threshold).drop(mark)
