@@ -200,6 +200,19 @@ def similar(a: np.ndarray, b: np.ndarray, size: int) -> float:
     return np.isin(both, np.intersect1d(a, b)).sum() / len(both) if len(both) else 1.0
 
 
+def _unlinked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """All pairs ``(u, v)`` of each group's members ``tid`` whose ``root`` differs, one member at a time."""
+    for batch in batches:
+        for tid, root in zip(batch["tid"], batch["root"], strict=True):
+            tid, root = np.asarray(tid), np.asarray(root)
+            order = np.argsort(tid)
+            tid, root = tid[order], root[order]
+            for i in range(len(tid) - 1):
+                other = tid[i + 1 :][root[i + 1 :] != root[i]]
+                if len(other):
+                    yield pd.DataFrame({"u": np.full(len(other), tid[i]), "v": other})
+
+
 SKETCHED = "doc_id long, mark long, tid long, fp long, keys array<long>, sketch binary"
 
 
@@ -227,11 +240,25 @@ def near_copies(rows: DataFrame, scratch: Scratch, width: int, similarity: float
     rows = scratch.table(rows.mapInPandas(describe, SKETCHED))
     texts = scratch.table(rows.groupBy("tid").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys")))
 
-    # Texts that share a class are paired with the least and the greatest of those that do, never with each other.  The rows are
-    # dealt by key once, for both the ends and the pairs.
+    def verified(pairs: DataFrame) -> DataFrame:
+        asked = pairs.select(F.col("u").alias("tid")).unionAll(pairs.select(F.col("v").alias("tid"))).distinct()
+        sketches = scratch.table(rows.select("tid", "sketch").join(asked, "tid", "left_semi").dropDuplicates(["tid"]))
+        both = pairs.join(sketches.select(F.col("tid").alias("u"), F.col("sketch").alias("a")), "u").join(sketches.select(F.col("tid").alias("v"), F.col("sketch").alias("b")), "v")
+        links = scratch.table(both.mapInPandas(verify, "u long, v long"))
+        scratch.remove(sketches)
+        return links
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            fine = [similar(np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4"), sketch) >= similarity for a, b in zip(batch["a"], batch["b"], strict=True)]
+            yield batch.loc[fine, ["u", "v"]]
+
+    # First, texts that share a class are paired with the least and the greatest of those that do.  The rows are dealt by key once, for
+    # both the ends and the pairs.
     member = texts.select("tid", F.explode(F.array_distinct("keys")).alias("key")).repartition("key")
     ends = member.groupBy("key").agg(F.min("tid").alias("low"), F.max("tid").alias("high")).filter("low < high")
-    pairs = member.join(ends, "key").select(F.col("tid").alias("v"), F.explode(F.array("low", "high")).alias("u"))
+    shared = scratch.table(member.join(ends, "key"))
+    pairs = shared.select(F.col("tid").alias("v"), F.explode(F.array("low", "high")).alias("u"))
     # The covering tables add every pair of fingerprints within the radius, by way of one text each.
     of_fp = texts.groupBy("fp").agg(F.min("tid").alias("least"))
     near = near_links(of_fp.select("fp"), radius)
@@ -240,19 +267,20 @@ def near_copies(rows: DataFrame, scratch: Scratch, width: int, similarity: float
     same = texts.join(of_fp, "fp").select(F.col("least").alias("u"), F.col("tid").alias("v"))
     pairs = pairs.unionByName(linked).unionByName(same).filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     pairs = scratch.table(pairs)
-
-    asked = pairs.select(F.col("u").alias("tid")).unionAll(pairs.select(F.col("v").alias("tid"))).distinct()
-    sketches = scratch.table(rows.select("tid", "sketch").join(asked, "tid", "left_semi").dropDuplicates(["tid"]))
-    both = pairs.join(sketches.select(F.col("tid").alias("u"), F.col("sketch").alias("a")), "u").join(sketches.select(F.col("tid").alias("v"), F.col("sketch").alias("b")), "v")
-
-    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            fine = [similar(np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4"), sketch) >= similarity for a, b in zip(batch["a"], batch["b"], strict=True)]
-            yield batch.loc[fine, ["u", "v"]]
-
-    roots = components(both.mapInPandas(verify, "u long, v long"), scratch)
+    links = verified(pairs)
+
+    # Then every other pair of a class is, unless links found so far connect it already.
+    first = components(links, scratch).withColumnRenamed("node", "tid")
+    held = shared.select("key", "tid").join(first, "tid", "left").select("key", "tid", F.coalesce("root", "tid").alias("root"))
+    split = held.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("n")).filter("a < b AND n > 2").select("key")
+    groups = held.join(split, "key").groupBy("key").agg(F.collect_list(F.struct("tid", "root")).alias("all"))
+    groups = groups.select(F.col("all.tid").alias("tid"), F.col("all.root").alias("root"))
+    rest = groups.mapInPandas(_unlinked, "u long, v long").distinct().join(pairs, ["u", "v"], "left_anti")
+    rest = scratch.table(rest)
+    more = verified(rest)
+    roots = components(links.unionAll(more), scratch)
     named = scratch.table(rows.select("doc_id", "mark", "tid"))
-    scratch.remove(rows, texts, pairs, sketches)
+    scratch.remove(rows, texts, shared, pairs, rest, links, more)
     return named, roots.withColumnRenamed("node", "tid")
 
 

@@ -143,6 +143,21 @@ def test_near_dedup_against_brute_force(spark):
     assert len(want) < len(texts)
 
 
+def test_middle_members_of_a_template_family(spark):
+    """Strangers that share a template stand at both ends of most classes; the near copies are among those between."""
+    rng = random.Random(12)
+    template, texts = prose(rng, 340).split(), []
+    for _ in range(120):
+        own = prose(rng, 50).split()
+        texts.append(" ".join(template + own))
+    for i in range(60):
+        words = texts[i].split()
+        texts.append(" ".join(words[:-41] + prose(rng, 41).split()))
+    sets = [set(S.shingle_hashes(t, 5).tolist()) for t in texts]
+    assert 0.7 < jaccard(sets[0], sets[1]) < 0.78 and jaccard(sets[0], sets[120]) > 0.8
+    assert {r["doc_id"] for r in S.near_dedup(documents(spark, texts)).collect()} == set(groups(texts, 0.8))
+
+
 def test_similar_is_exact_for_small_sets():
     rng = np.random.default_rng(1)
     for _ in range(50):
