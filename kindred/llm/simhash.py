@@ -192,6 +192,12 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def _text_id(hashes: np.ndarray) -> int:
+    """Signed 64-bit name of a text, from its shingles in order."""
+    sequence = xxhash.xxh3_64_intdigest(hashes.tobytes(), len(hashes))
+    return sequence - (1 << 64) if sequence >> 63 else sequence
+
+
 def similar(a: np.ndarray, b: np.ndarray, size: int) -> float:
     """Jaccard similarity of two shingle sets from their ``size`` least hashes, sorted: exact where neither set has more."""
     both = np.union1d(a, b)
@@ -213,46 +219,55 @@ def _unlinked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     yield pd.DataFrame({"u": np.full(len(other), tid[i]), "v": other})
 
 
-SKETCHED = "doc_id long, mark long, tid long, fp long, keys array<long>, sketch binary"
+DESCRIBED = "doc_id long, mark long, tid long, fp long, keys array<long>"
 
 
-def near_copies(rows: DataFrame, scratch: Scratch, width: int, similarity: float, radius: int, sketch: int) -> tuple[DataFrame, DataFrame]:
+def near_copies(rows: DataFrame, scratch: Scratch, width: int, similarity: float, radius: int) -> tuple[DataFrame, DataFrame]:
     """``(doc_id, mark, tid)`` for every row of ``rows(doc_id, mark, text)``, ``tid`` naming its text, and ``(tid, root)`` for the
     texts that are linked to another; ``root`` names the group."""
 
     def frame(out: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(out, columns=["doc_id", "mark", "tid", "fp", "keys", "sketch"]).astype({"doc_id": "Int64"})
+        return pd.DataFrame(out, columns=["doc_id", "mark", "tid", "fp", "keys"]).astype({"doc_id": "Int64"})
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for doc_id, mark, text in zip(batch["doc_id"], batch["mark"], batch["text"], strict=True):
                 hashes = shingle_hashes(text, width)
-                sequence = xxhash.xxh3_64_intdigest(hashes.tobytes(), len(hashes))
-                single = np.unique(hashes)
-                out.append((doc_id, mark, sequence - (1 << 64) if sequence >> 63 else sequence, _signs(hashes), class_keys(single), (single[:sketch] >> np.uint64(32)).astype("<u4").tobytes()))
+                out.append((doc_id, mark, _text_id(hashes), _signs(hashes), class_keys(np.unique(hashes))))
                 if len(out) == 1000:  # a row is up to some kilobytes
                     yield frame(out)
                     out = []
             if out:
                 yield frame(out)
 
-    rows = scratch.table(rows.mapInPandas(describe, SKETCHED))
+    given = rows
+    rows = scratch.table(given.mapInPandas(describe, DESCRIBED))
     texts = scratch.table(rows.groupBy("tid").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys")))
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        asked = pairs.select(F.col("u").alias("tid")).unionAll(pairs.select(F.col("v").alias("tid"))).distinct()
-        sketches = scratch.table(rows.select("tid", "sketch").join(asked, "tid", "left_semi").dropDuplicates(["tid"]))
-        both = pairs.join(sketches.select(F.col("tid").alias("u"), F.col("sketch").alias("a")), "u").join(sketches.select(F.col("tid").alias("v"), F.col("sketch").alias("b")), "v")
-        links = scratch.table(both.mapInPandas(verify, "u long, v long"))
-        scratch.remove(sketches)
-        return links
+    def whole_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for start in range(0, len(batch), 200):  # a set may be as long as its text
+                part = batch.iloc[start : start + 200]
+                found = [(tid, h) for tid, h in zip(part["tid"], (shingle_hashes(x, width) for x in part["text"]), strict=True) if _text_id(h) == tid]
+                yield pd.DataFrame({"tid": [t for t, _ in found], "set": [np.unique(h).astype("<u8").tobytes() for _, h in found]}).astype({"tid": "int64"})
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            fine = [similar(np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4"), sketch) >= similarity for a, b in zip(batch["a"], batch["b"], strict=True)]
+            sets = ((np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")) for a, b in zip(batch["a"], batch["b"], strict=True))
+            fine = [similar(a, b, len(a) + len(b) + 1) >= similarity for a, b in sets]
             yield batch.loc[fine, ["u", "v"]]
 
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Those of ``pairs(u, v)`` that are similar, by the whole shingle sets.  Only texts in a pair are read again."""
+        asked = pairs.select(F.col("u").alias("tid")).unionAll(pairs.select(F.col("v").alias("tid"))).distinct()
+        marks = rows.join(asked, "tid", "left_semi").groupBy("tid").agg(F.min("mark").alias("mark"))
+        sets = scratch.table(given.select("mark", "text").join(marks, "mark").select("tid", "text").mapInPandas(whole_sets, "tid long, set binary").dropDuplicates(["tid"]))
+        both = pairs.join(sets.select(F.col("tid").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("tid").alias("v"), F.col("set").alias("b")), "v")
+        links = scratch.table(both.mapInPandas(verify, "u long, v long"))
+        scratch.remove(sets)
+        return links
+
     # First, texts that share a class are paired with the least and the greatest of those that do.  The rows are dealt by key once, for
     # both the ends and the pairs.
     member = texts.select("tid", F.explode(F.array_distinct("keys")).alias("key")).repartition("key")
@@ -291,12 +306,11 @@ def near_dedup(
     width: int = 5,
     similarity: float = 0.8,
     radius: int = 2,
-    sketch: int = 512,
 ) -> DataFrame:
     """``docs`` with one row of each group of near copies, all columns as they were.
 
-    Two texts are linked if their sets of ``width``-word shingles have a Jaccard similarity of ``similarity`` or more (measured on the
-    ``sketch`` least hashes of the whole sets, so exactly for up to that many shingles); groups are what links reach.  Candidates are pairs within
+    Two texts are linked if their sets of ``width``-word shingles have a Jaccard similarity of ``similarity`` or more (of the
+    whole sets); groups are what links reach.  Candidates are pairs within
     ``radius`` bits of each other's SimHash, found by the covering tables without exception, and pairs that share the
     fingerprint of a class of shingles, which a pair at the least similarity misses once in some thousands.
 
@@ -307,7 +321,7 @@ def near_dedup(
     hashed = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind]
     every = F.xxhash64(*hashed)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), every.alias("mark"), F.col(f"`{text_col}`").alias("text"))
-    named, roots = near_copies(rows, scratch, width, similarity, radius, sketch)
+    named, roots = near_copies(rows, scratch, width, similarity, radius)
     # A row is known by its id and checksum; rows equal in both are counted.  Copies of a text are summed up before groups are joined.
     order = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "mark")
     texts = named.groupBy("tid").agg(F.min(order).alias("first"), F.count("*").alias("size"))

@@ -158,6 +158,21 @@ def test_middle_members_of_a_template_family(spark):
     assert {r["doc_id"] for r in S.near_dedup(documents(spark, texts)).collect()} == set(groups(texts, 0.8))
 
 
+def test_long_texts_are_compared_whole(spark):
+    """Pairs of 2,000 shingles just above and just below the least similarity; a sample of 512 mistakes many of them."""
+    rng = random.Random(13)
+    texts = []
+    for i in range(40):
+        words = [f"{w}{k}" for k, w in enumerate(prose(rng, 2004).split())]
+        other = words[:]
+        n = 218 if i % 2 else 228
+        other[-n:] = prose(rng, n).split()
+        texts += [" ".join(words), " ".join(other)]
+    sets = [set(S.shingle_hashes(t, 5).tolist()) for t in texts]
+    assert jaccard(*sets[2:4]) > 0.8 > jaccard(*sets[:2]) > 0.79
+    assert {r["doc_id"] for r in S.near_dedup(documents(spark, texts)).collect()} == set(groups(texts, 0.8))
+
+
 def test_similar_is_exact_for_small_sets():
     rng = np.random.default_rng(1)
     for _ in range(50):
