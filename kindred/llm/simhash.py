@@ -9,12 +9,13 @@ spanning star of each of its linked groups, never its pairs.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -154,35 +155,28 @@ def _label(rows: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
 
 
 # Near copies at a given similarity.  A fingerprint of the whole text moves by many bits when a twentieth of the words change, so
-# the covering tables alone would miss such pairs; smaller fingerprints, of classes of shingles, find them.
+# the covering tables alone would miss such pairs; a prefix filter over the shingles, which misses none, finds them.
 
 
-def class_keys(shingles: np.ndarray, tables: int = 28, seed: int = 11) -> np.ndarray:
-    """Fingerprints of classes of a text's distinct shingles.
+def prefix(shingles: np.ndarray, similarity: float, common: np.ndarray) -> np.ndarray:
+    """The first n - ceil(similarity * n) + 1 of a text's n distinct shingles, those in ``common`` last and in its order.
 
-    Shingles are dealt by hash to 2^L classes of 4 to 8 each, by as many hash functions as it takes for ``tables`` classes.  Two texts of
-    similarity s agree on a class of c shingles with probability near s^c or better, and texts that share only a passage
-    hardly ever do.  A text just above a change of L has the classes of L - 1 as well, so that lengths a quarter apart meet.
-    """
+    Any two sets at least as similar share a shingle of their prefixes, whatever the order is as long as it is the same for all:
+    ``common`` (shingles by rising frequency) only keeps passages that many texts hold out of the prefixes."""
     n = len(shingles)
     if not n:
-        return np.empty(0, np.int64)
-    level = max(1, (n // 4).bit_length() - 1)
-    levels = [level, level - 1] if level > 1 and n < 1.3 * (4 << level) else [level]
-    out = []
-    for lv in levels:
-        classes = 1 << lv
-        own = min(classes, tables)
-        for j in range(-(-tables // own)):
-            salt = np.uint64((seed + 1009 * lv + 31 * j) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
-            mixed = _mixed(shingles ^ salt)
-            part = (mixed >> np.uint64(64 - lv)).astype(np.int64)
-            fine = part < own
-            sums = np.zeros(own, np.uint64)
-            np.add.at(sums, part[fine], _mixed(mixed[fine]))
-            held = np.bincount(part[fine], minlength=own) > 0
-            out.append(_mixed(sums[held] ^ salt))
-    return np.concatenate(out).view(np.int64)
+        return shingles
+    rank = np.zeros(n, np.int64)
+    if len(common):
+        by_value = np.argsort(common)
+        at = np.minimum(np.searchsorted(common, shingles, sorter=by_value), len(common) - 1)
+        rank = np.where(common[by_value[at]] == shingles, by_value[at] + 1, 0)
+    return shingles[np.lexsort((shingles, rank))][: n - math.ceil(similarity * n - 1e-9) + 1]
+
+
+def may_be_similar(n: np.ndarray, at: np.ndarray, n2, at2, similarity: float) -> np.ndarray:
+    """False where sets of n and n2 shingles, whose first shared one is the at-th and the at2-th (from 0), cannot be similar enough."""
+    return (np.minimum(n, n2) >= similarity * np.maximum(n, n2) - 1e-6) & (np.minimum(n - at, n2 - at2) >= similarity / (1 + similarity) * (n + n2) - 1e-6)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -206,20 +200,48 @@ def similar(a: np.ndarray, b: np.ndarray, size: int) -> float:
     return np.isin(both, np.intersect1d(a, b)).sum() / len(both) if len(both) else 1.0
 
 
-def _unlinked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """All pairs ``(u, v)`` of each group's members ``tid`` whose ``root`` differs, one member at a time."""
-    for batch in batches:
-        for tid, root in zip(batch["tid"], batch["root"], strict=True):
-            tid, root = np.asarray(tid), np.asarray(root)
-            order = np.argsort(tid)
-            tid, root = tid[order], root[order]
-            for i in range(len(tid) - 1):
-                other = tid[i + 1 :][root[i + 1 :] != root[i]]
-                if len(other):
-                    yield pd.DataFrame({"u": np.full(len(other), tid[i]), "v": other})
+def _unlinked(similarity: float):
+    """All pairs ``(u, v)`` of each group's members ``tid`` whose ``root`` differs and that may be similar, one member at a time."""
+
+    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for columns in zip(batch["tid"], batch["root"], batch["n"], batch["at"], strict=True):
+                columns = [np.asarray(c, np.int64) for c in columns]
+                order = np.argsort(columns[0])
+                tid, root, n, at = (c[order] for c in columns)
+                for i in range(len(tid) - 1):
+                    fine = (root[i + 1 :] != root[i]) & may_be_similar(n[i + 1 :], at[i + 1 :], n[i], at[i], similarity)
+                    other = tid[i + 1 :][fine]
+                    if len(other):
+                        yield pd.DataFrame({"u": np.full(len(other), tid[i]), "v": other})
+
+    return pairs
+
 
+DESCRIBED = "doc_id long, mark long, tid long, fp long, n int, keys array<long>"
+
+
+def _may_be_similar(n: Column, at: Column, n2: Column, at2: Column, similarity: float) -> Column:
+    """``may_be_similar`` as an expression."""
+    sizes = F.least(n, n2) >= F.greatest(n, n2) * F.lit(similarity) - F.lit(1e-6)
+    return sizes & (F.least(n - at, n2 - at2) >= (n + n2) * F.lit(similarity / (1 + similarity)) - F.lit(1e-6))
+
+
+def _common_shingles(rows: DataFrame, width: int, sample: int = 20_000, most: int = 100_000) -> np.ndarray:
+    """Up to ``most`` shingles that three or more of about ``sample`` texts hold, by rising frequency.  They only order the
+    prefixes: the sample decides how many candidates there are, never which pairs are found."""
+
+    def shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for start in range(0, len(batch), 200):
+                sets = [np.unique(shingle_hashes(text, width)) for text in batch["text"][start : start + 200]]
+                yield pd.DataFrame({"s": np.concatenate(sets).view(np.int64)})
 
-DESCRIBED = "doc_id long, mark long, tid long, fp long, keys array<long>"
+    every = max(1, rows.count() // sample)
+    picked = rows.filter(F.pmod(F.xxhash64("mark", F.lit(5)), F.lit(every)) == 0).select("text")
+    counts = picked.mapInPandas(shingles, "s long").groupBy("s").agg(F.count("*").alias("n")).filter("n > 2")
+    best = counts.orderBy(F.desc("n"), "s").limit(most).toPandas()["s"].to_numpy(np.int64)
+    return best[::-1].copy().view(np.uint64)
 
 
 def near_copies(rows: DataFrame, scratch: Scratch, width: int, similarity: float, radius: int) -> tuple[DataFrame, DataFrame]:
@@ -227,14 +249,15 @@ def near_copies(rows: DataFrame, scratch: Scratch, width: int, similarity: float
     texts that are linked to another; ``root`` names the group."""
 
     def frame(out: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(out, columns=["doc_id", "mark", "tid", "fp", "keys"]).astype({"doc_id": "Int64"})
+        return pd.DataFrame(out, columns=["doc_id", "mark", "tid", "fp", "n", "keys"]).astype({"doc_id": "Int64"})
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for doc_id, mark, text in zip(batch["doc_id"], batch["mark"], batch["text"], strict=True):
                 hashes = shingle_hashes(text, width)
-                out.append((doc_id, mark, _text_id(hashes), _signs(hashes), class_keys(np.unique(hashes))))
+                single = np.unique(hashes)
+                out.append((doc_id, mark, _text_id(hashes), _signs(hashes), len(single), prefix(single, similarity, common).view(np.int64)))
                 if len(out) == 1000:  # a row is up to some kilobytes
                     yield frame(out)
                     out = []
@@ -242,8 +265,9 @@ def near_copies(rows: DataFrame, scratch: Scratch, width: int, similarity: float
                 yield frame(out)
 
     given = rows
+    common = _common_shingles(given, width)
     rows = scratch.table(given.mapInPandas(describe, DESCRIBED))
-    texts = scratch.table(rows.groupBy("tid").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys")))
+    texts = scratch.table(rows.groupBy("tid").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("keys").alias("keys")))
 
     def whole_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -268,12 +292,15 @@ def near_copies(rows: DataFrame, scratch: Scratch, width: int, similarity: float
         scratch.remove(sets)
         return links
 
-    # First, texts that share a class are paired with the least and the greatest of those that do.  The rows are dealt by key once, for
-    # both the ends and the pairs.
-    member = texts.select("tid", F.explode(F.array_distinct("keys")).alias("key")).repartition("key")
+    # First, texts that share a shingle of their prefixes are paired with the least and the greatest of those that do.  The rows are
+    # dealt by key once, for both the ends and the pairs; few keys occur twice.
+    member = texts.select("tid", "n", F.posexplode("keys").alias("at", "key")).repartition("key")
+    end = F.struct("tid", "n", "at")
     ends = member.groupBy("key").agg(F.min("tid").alias("low"), F.max("tid").alias("high")).filter("low < high")
     shared = scratch.table(member.join(ends, "key"))
-    pairs = shared.select(F.col("tid").alias("v"), F.explode(F.array("low", "high")).alias("u"))
+    ends = shared.filter("tid = low OR tid = high").select("key", end.alias("end"))
+    pairs = shared.join(ends, "key").filter(F.expr("end.tid <> tid") & _may_be_similar(F.col("n"), F.col("at"), F.col("end.n"), F.col("end.at"), similarity))
+    pairs = pairs.select(F.col("tid").alias("v"), F.col("end.tid").alias("u"))
     # The covering tables add every pair of fingerprints within the radius, by way of one text each.
     of_fp = texts.groupBy("fp").agg(F.min("tid").alias("least"))
     near = near_links(of_fp.select("fp"), radius)
@@ -284,13 +311,13 @@ def near_copies(rows: DataFrame, scratch: Scratch, width: int, similarity: float
     pairs = scratch.table(pairs)
     links = verified(pairs)
 
-    # Then every other pair of a class is, unless links found so far connect it already.
+    # Then every other pair of a shingle is, unless links found so far connect it already.
     first = components(links, scratch).withColumnRenamed("node", "tid")
-    held = shared.select("key", "tid").join(first, "tid", "left").select("key", "tid", F.coalesce("root", "tid").alias("root"))
-    split = held.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("n")).filter("a < b AND n > 2").select("key")
-    groups = held.join(split, "key").groupBy("key").agg(F.collect_list(F.struct("tid", "root")).alias("all"))
-    groups = groups.select(F.col("all.tid").alias("tid"), F.col("all.root").alias("root"))
-    rest = groups.mapInPandas(_unlinked, "u long, v long").distinct().join(pairs, ["u", "v"], "left_anti")
+    held = shared.select("key", "tid", "n", "at").join(first, "tid", "left").select("key", "tid", F.coalesce("root", "tid").alias("root"), "n", "at")
+    split = held.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("size")).filter("a < b AND size > 2").select("key")
+    groups = held.join(split, "key").groupBy("key").agg(F.collect_list(F.struct("tid", "root", "n", "at")).alias("all"))
+    groups = groups.select(*(F.col(f"all.{c}").alias(c) for c in ("tid", "root", "n", "at")))
+    rest = groups.mapInPandas(_unlinked(similarity), "u long, v long").distinct().join(pairs, ["u", "v"], "left_anti")
     rest = scratch.table(rest)
     more = verified(rest)
     roots = components(links.unionAll(more), scratch)
@@ -311,8 +338,8 @@ def near_dedup(
 
     Two texts are linked if their sets of ``width``-word shingles have a Jaccard similarity of ``similarity`` or more (of the
     whole sets); groups are what links reach.  Candidates are pairs within
-    ``radius`` bits of each other's SimHash, found by the covering tables without exception, and pairs that share the
-    fingerprint of a class of shingles, which a pair at the least similarity misses once in some thousands.
+    ``radius`` bits of each other's SimHash and all pairs that a prefix filter over the shingles leaves; it leaves every pair of the
+    least similarity or more.
 
     Of each group stays the row of the smallest id (nulls last), then of the smallest checksum of all columns; of rows equal in
     every column one stays.  Texts without words (null, empty, white space) are copies of each other.  An empty table gives no rows.

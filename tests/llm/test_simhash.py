@@ -173,6 +173,23 @@ def test_long_texts_are_compared_whole(spark):
     assert {r["doc_id"] for r in S.near_dedup(documents(spark, texts)).collect()} == set(groups(texts, 0.8))
 
 
+@pytest.mark.parametrize("sizes", [(5, 4, 4), (9, 9, 8), (250, 200, 200), (312, 250, 250), (1020, 1020, 907), (1275, 1020, 1020)])
+def test_prefixes_of_similar_sets_meet(sizes):
+    """Sets of the first two sizes with so many shared shingles, a similarity of 0.8 or just more."""
+    rng = np.random.default_rng(3)
+    n, m, both = sizes
+    assert both / (n + m - both) >= 0.8
+    for _ in range(400):
+        pool = rng.integers(0, 1 << 63, n + m - both, dtype=np.uint64)
+        common = rng.choice(pool, 50)
+        a, b = np.unique(pool[:n]), np.unique(np.concatenate([pool[:both], pool[n:]]))
+        first, second = S.prefix(a, 0.8, common), S.prefix(b, 0.8, common)
+        x, y = first.tolist(), second.tolist()
+        shared = next((v for v in x if v in set(y)), None)
+        assert shared is not None
+        assert S.may_be_similar(len(a), x.index(shared), len(b), y.index(shared), 0.8)
+
+
 def test_similar_is_exact_for_small_sets():
     rng = np.random.default_rng(1)
     for _ in range(50):
