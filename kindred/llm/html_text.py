@@ -3,9 +3,10 @@
 Pages are put in the order of host and URL path; each is aligned, line by line, with the neighbour whose URL path is nearer, by a
 longest common subsequence.  Lines that both pages share are the site's, not the page's, and are deleted.  Menus, notices
 and footers differ in their words from page to page, so a line inside page furniture is compared by its place in
-the template (its path of tags) and every other line by its text.  Two exact checks follow: a line of the page's own article
-element is never deleted for being shared, since an article may stand at two URLs or quote another;
-and furniture that the neighbour does not share is still furniture.
+the template (its path of tags) and every other line by its text.  Lines outside of furniture that the neighbour does not share are
+the page's, inside an article element and out of it.  Three exact checks follow: a line of the page's own article
+element is never deleted for being shared, since an article may stand at two URLs or quote another; furniture that the neighbour
+does not share is still furniture; and a neighbour that is a near copy of the page says nothing about it, so the one on the other side is taken.
 """
 
 from __future__ import annotations
@@ -46,6 +47,7 @@ HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\
 WORDS = re.compile(r"[a-z]+")
 
 TEXT, IN_ARTICLE, IN_FURNITURE = 0, 1, 2
+NEAR_COPY = 0.8  # of the characters outside of furniture
 
 
 def _named_furniture(attributes: str) -> bool:
@@ -205,15 +207,24 @@ def _path_overlap(a: str, b: str) -> tuple[int, int]:
     return segments, chars
 
 
-def main_text(lines: list[tuple[str, int, str]], keys: np.ndarray, other: np.ndarray | None) -> str:
-    """Lines of a page, less those shared with its neighbour and less furniture (see the head of this module)."""
+def body_size(lines: list[tuple[str, int, str]]) -> int:
+    """Characters outside of furniture."""
+    return sum(len(t) for t, k, _ in lines if k != IN_FURNITURE)
+
+
+def main_text(lines: list[tuple[str, int, str]], keys: np.ndarray, *others: tuple[np.ndarray, int] | None) -> str:
+    """Lines of a page, less those shared with its neighbour and less furniture (see the head of this module).  The neighbour is the
+    first of ``others``, keys and ``body_size``, that is no near copy (both share ``NEAR_COPY`` or more); without one nothing is shared."""
     kinds = np.array([k for _, k, _ in lines], np.int8)
-    shared = common_lines(keys, other) if other is not None else np.zeros(len(lines), bool)
-    own = (kinds == IN_ARTICLE) if (kinds == IN_ARTICLE).any() else np.zeros(len(lines), bool)
-    plain = kinds == TEXT
-    if shared[plain].all():
-        shared[:] = False  # the same page at two URLs: differencing says nothing about it
-    keep = own | (plain & ~shared & ~own.any())
+    size = np.array([len(t) for t, _, _ in lines], np.int64) * (kinds != IN_FURNITURE)
+    shared = np.zeros(len(lines), bool)
+    for other in others:
+        if other is not None:
+            common = common_lines(keys, other[0])
+            if size[common].sum() < NEAR_COPY * max(size.sum(), other[1]):
+                shared = common
+                break
+    keep = (kinds == IN_ARTICLE) | ((kinds == TEXT) & ~shared)
     return "\n".join(t for (t, _, _), k in zip(lines, keep, strict=True) if k)
 
 
@@ -277,8 +288,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             text = ""
             if page[3]:
                 sides = [s for s in (before, after) if s and _host(s[1]) == _host(page[1])]
-                side = max(sides, key=lambda s: _path_overlap(page[1], s[1]), default=None)
-                text = main_text(page[3], page[4], side[4] if side else None)
+                sides.sort(key=lambda s: _path_overlap(page[1], s[1]), reverse=True)
+                text = main_text(page[3], page[4], *((s[4], body_size(s[3])) for s in sides))
             return page[2], page[5], text, len(text)
 
         for batch in batches:

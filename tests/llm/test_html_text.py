@@ -89,6 +89,22 @@ def test_an_article_at_two_urls_is_kept(spark):
     assert texts(H.extract(pages(spark, bare))) == {1: "one\ntwo", 2: "one\ntwo"}
 
 
+def test_a_body_outside_of_article_elements_is_kept(spark):
+    """Teasers are article elements, the body is not; the site's own lines go."""
+    body = lambda i: f"<p>Site name</p><div><p>body {i} one</p><p>body {i} two</p></div><article>teaser {i}</article><p>Imprint</p>"
+    rows = [(i, f"http://h.org/a/{i}", body(i)) for i in range(5)]
+    assert texts(H.extract(pages(spark, rows))) == {i: f"body {i} one\nbody {i} two\nteaser {i}" for i in range(5)}
+
+
+def test_a_near_copy_is_no_neighbour(spark):
+    """Two pages of one story, one with a line added, next to others of the site."""
+    story = "".join(f"<p>a line of the story, number {k}</p>" for k in range(9))
+    body = lambda x: f"<p>Site name</p>{x}<p>Imprint</p>"
+    rows = [(1, "http://h.org/a/1", body("<p>first")), (2, "http://h.org/a/2", body(story)), (3, "http://h.org/a/2/x", body(story + "<p>added")), (4, "http://h.org/a/4", body("<p>last"))]
+    want = "\n".join(f"a line of the story, number {k}" for k in range(9))
+    assert texts(H.extract(pages(spark, rows))) == {1: "first", 2: want, 3: want + "\nadded", 4: "last"}
+
+
 def test_ranges_do_not_change_results(spark):
     rng = random.Random(4)
     rows = []
