@@ -38,9 +38,9 @@ BYTES = 128
 
 
 def may_hold(text: Column) -> Column:
-    """False for most texts without a mention: tests that are much cheaper than the pattern, the cheapest first."""
+    """False for most texts without a mention, never for one with: tests that are much cheaper than the pattern, the cheapest first."""
     assigned = (text.contains("=") | text.contains(":")) & text.rlike(r"(?i)token|passw|secret|(?:api|access)[_-]?key")
-    return F.coalesce(text.contains("@") | text.rlike(r"\d\d\d|\d\.\d") | assigned | text.rlike(TITLED), F.lit(False))
+    return F.coalesce(text.contains("@") | text.rlike(r"\d\d\d|\d\.\d|\+\d|[A-Z][A-Z]\d\d") | assigned | text.rlike(TITLED), F.lit(False))
 
 
 def _digits(c: Column) -> Column:

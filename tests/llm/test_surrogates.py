@@ -85,6 +85,34 @@ def test_keyed_and_repeatable(spark, out):
     assert other[3] != again[3] and other[7] == again[7]
 
 
+SAMPLES = {
+    "email": ["a@b.co", "Ä.b@c-d.e.org"],
+    "secret": ["token=abcdefghijkl", 'PassWord" : "abcdefghijkl', "api-key:abcd_efgh-ijk", "apikey=abcdefghijkl", "ACCESS_KEY = abcdefghijkl", "passwd=abcdefghijkl", "api_key:abcdefghijkl", "secret=abcdefghijkl"],
+    "ip": ["1.2.3.4", "10.20.30.40"],
+    "iban": ["DE89 3704 0044 0532 0130 00", "GB29NWBKABCDEFGH", "MT84 MALT ABCD EFGH", "FR76 AB12 CD34 EF56"],
+    "card": ["4242 4242 4242 4242", "1234567890123"],
+    "ssn": ["123-45-6789"],
+    "phone": ["+49 30 12 34 56 78", "+33-12-34-56-78", "+1.22.33", "+4930", "+12345", "+1 (017) 555-7713", "(01) 555 7713", "017 555 7713", "+7 (12)345 6789"],
+    "name": ["Mr A'b", "Frau. Öl", "Г-жа Ян", "SIG. XY"],
+}
+
+
+def test_whatever_a_pattern_matches_is_looked_at(spark):
+    """Each pattern's matches pass the cheap test, in a text without anything else that would."""
+    from pyspark.sql import functions as F
+
+    rows = [(k, x, f"see {x} there") for k, all_ in SAMPLES.items() for x in all_]
+    df = spark.createDataFrame(rows, "kind string, sample string, text string")
+    tests = [F.col("text").rlike(p).alias(k) for k, p in S.PATTERNS.items()]
+    got = df.select("kind", "sample", S.may_hold(F.col("text")).alias("held"), *tests).collect()
+    for k in S.PATTERNS:
+        assert any(r[k] and r["kind"] == k for r in got), k
+    assert [r["sample"] for r in got if any(r[k] for k in S.PATTERNS) and not r["held"]] == []
+    docs = documents(spark, ["call +49 30 12 34 56 78 now", "in 2024 call +49 30 12 34 56 78 now"])
+    a, b = (r["text"] for r in S.replace_personal_data(docs).orderBy("doc_id").collect())
+    assert "12 34 56 78" not in a and a.split("call ")[1] == b.split("call ")[1]
+
+
 def test_collisions_are_drawn_again(spark):
     """Two-digit 'cards' have 100 surrogates at most: 60 entities cannot all draw a free one at once."""
     from kindred.llm.shared import Scratch
