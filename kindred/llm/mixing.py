@@ -120,14 +120,14 @@ def mixing_rates(
     telling: float = 25.0,
     max_steps: int = 25,
     tolerance: float = 1e-5,
-    snap: float = 0.1,
+    snap: float = 1e-6,
 ) -> DataFrame:
     """``(doc_id, tokens, p_<domain>..., rate, copies)`` for every row.
 
     ``domain`` is an expression over ``labels`` that names a row's domain, and ``targets`` the share of expected tokens that each domain should
     have.  ``total`` is the number of tokens that the shares are of; by default such that the domain with the largest share keeps its expected tokens.
     ``copies`` is the rate as a whole number: its whole part, plus one with the probability of the rest, decided by a hash of
-    id and text; rates within ``snap`` of a whole number are taken as that.  Targets that no rates of 0 or more can meet are met as
+    id and text, so expected copies are the rate; ``snap`` only takes rounding errors off whole numbers.  Targets that no rates of 0 or more can meet are met as
     nearly as least squares allows.
 
     Null and empty texts have no tokens and the domains' priors; they count nothing and their rate follows their posterior.  Null ids and

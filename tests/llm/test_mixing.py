@@ -76,6 +76,18 @@ def test_copies_take_effect(corpus):
     assert got == {i: n for i, n in rates.items() if n}
 
 
+def test_copies_keep_small_rates(spark):
+    """A domain whose target asks for less than a tenth of its tokens does not vanish."""
+    rng = random.Random(6)
+    texts = [prose(rng, 30) + (" idiot scum" if i % 3 == 0 else "") for i in range(900)]
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(900)], "doc_id long, quality int, toxic int")
+    got = M.mixing_rates(documents(spark, texts), labels, domain(), {"clean": 0.97, "toxic": 0.03}).collect()
+    toxic = [r for r in got if r["doc_id"] % 3 == 0]
+    assert 0.02 < sum(r["rate"] for r in toxic) / len(toxic) < 0.1
+    assert sum(r["copies"] for r in toxic) == pytest.approx(sum(r["rate"] for r in toxic), abs=14)
+    assert sum(r["copies"] for r in toxic) > 4
+
+
 def test_odd_input(spark, corpus):
     _, labels = corpus
     docs = odd_documents(spark)
