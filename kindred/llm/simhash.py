@@ -17,11 +17,14 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .components import components
 from .shared import Scratch, table, unused
 
 BITS = 64
+HEAVY = 1000  # a fingerprint is heavy if it holds this part of all rows
+CELLS = 128  # cells over which a set's shingles are counted
 
 
 def shingle_hashes(text: str | None, width: int, seed: int = 42) -> np.ndarray:
@@ -114,10 +117,30 @@ def bucket_links(values: np.ndarray, radius: int, small: int = 600) -> tuple[np.
     return v[linked].view(np.int64), v[root[linked]].view(np.int64)
 
 
-def near_links(nodes: DataFrame, radius: int) -> DataFrame:
-    """Links ``(u, v)`` that span what is within ``radius`` bits, directly or in a chain, among the distinct ``nodes(fp)``."""
-    keys = F.array(*(F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for t, m in enumerate(covering_masks(radius))))
-    buckets = nodes.select("fp", F.explode(keys).alias("b")).groupBy("b.t", "b.k").agg(F.collect_list("fp").alias("fps"))
+def _part_masks(kept: int, radius: int) -> list[int]:
+    """The bits that a table does not keep, dealt to radius + 1 masks (signed longs): within a bucket, a pair within the radius agrees on one."""
+    free = [i for i in range(BITS) if not kept >> i & 1]
+    masks = [sum(1 << i for i in free[g :: radius + 1]) for g in range(radius + 1)]
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
+
+
+def near_links(nodes: DataFrame, radius: int, scratch: Scratch, most: int = 50_000) -> DataFrame:
+    """Links ``(u, v)`` that span what is within ``radius`` bits, directly or in a chain, among the distinct ``nodes(fp)``.
+
+    A bucket of more than ``most`` fingerprints is cut once more, by each part of the bits that its table does not keep."""
+    masks = covering_masks(radius)
+    keys = F.array(*(F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for t, m in enumerate(masks)))
+    dealt = nodes.select("fp", F.explode(keys).alias("b")).select("fp", "b.t", "b.k")
+    large = scratch.table(dealt.groupBy("t", "k").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("t", "k"))
+    by = ["t", "k"]
+    if large.limit(1).count():
+        part = lambda t: F.array(*(F.struct(F.lit(g).alias("g"), F.col("fp").bitwiseAND(F.lit(m)).alias("s")) for g, m in enumerate(_part_masks(masks[t] % (1 << 64), radius))))
+        parts = F.array(*map(part, range(len(masks))))
+        whole = F.array(F.struct(F.lit(-1).alias("g"), F.lit(0).cast("long").alias("s")))
+        dealt = dealt.join(large.withColumn("cut", F.lit(True)), ["t", "k"], "left")
+        dealt = dealt.select("fp", "t", "k", F.explode(F.when(F.col("cut"), parts[F.col("t")]).otherwise(whole)).alias("p")).select("fp", "t", "k", "p.g", "p.s")
+        by += ["g", "s"]
+    buckets = dealt.groupBy(*by).agg(F.collect_list("fp").alias("fps"))
 
     def links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -135,7 +158,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Null and empty texts have fingerprint 0 and are linked like any other.  A null doc_id keeps its row but never names a
     component (a component of nulls only is named null).  Repeated rows come back as often as they occur.  An empty
-    table gives no rows.  Other columns are ignored.
+    table gives no rows.  Very long texts are read whole.  Ties, here equal fingerprints, are one node.  Other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     rows = scratch.table(docs.select(F.col(id_col).alias("doc_id"), fingerprints(F.col(text_col), width).alias("fp")))
@@ -143,15 +166,19 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def _label(rows: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
-    nodes = scratch.table(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(near_links(nodes.select("fp"), radius), scratch)
+    nodes = scratch.table(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
+    roots = components(near_links(nodes.select("fp"), radius, scratch), scratch)
     linked = nodes.join(roots, nodes["fp"] == roots["node"]).select("fp", "root", "least")
     tops = nodes.join(roots.select("root").distinct(), F.col("fp") == F.col("root")).select("fp", "root", "least")
     members = linked.unionAll(tops)
     names = members.groupBy("root").agg(F.min("least").alias("name"))
     named = nodes.join(members.join(names, "root").select("fp", "name"), "fp", "left")
-    named = named.select("fp", F.coalesce("name", "least").alias("component_id"))
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = scratch.table(named.select("fp", F.coalesce("name", "least").alias("component_id"), "n"))
+    # Fingerprints that hold a thousandth of all rows or more, a thousand at most, are sent to the rows; the others meet them in a join.
+    share = named.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] / HEAVY
+    heavy = F.broadcast(named.filter(F.col("n") >= share).drop("n"))
+    light = rows.join(heavy.select("fp"), "fp", "left_anti").join(named.filter(F.col("n") < share).drop("n"), "fp")
+    return rows.join(heavy, "fp").unionByName(light).select("doc_id", "fp", "component_id")
 
 
 # Near copies at a given similarity.  A fingerprint of the whole text moves by many bits when a twentieth of the words change, so
@@ -200,25 +227,45 @@ def similar(a: np.ndarray, b: np.ndarray, size: int) -> float:
     return np.isin(both, np.intersect1d(a, b)).sum() / len(both) if len(both) else 1.0
 
 
-def _unlinked(similarity: float):
-    """All pairs ``(u, v)`` of each group's members ``tid`` whose ``root`` differs and that may be similar, one member at a time."""
+def cell_counts(shingles: np.ndarray) -> bytes:
+    """Number of a set's shingles in each of ``CELLS`` cells of the hash space, none for a very large set.  Two sets cannot share more in a cell than the
+    lesser count: an exact bound on what they share at all."""
+    return np.bincount((shingles >> np.uint64(57)).astype(np.int64), minlength=CELLS).astype("<u2").tobytes() if len(shingles) < 1 << 16 else b""
+
+
+def _unlinked(similarity: float, most: int):
+    """Pairs ``(u, v)`` of each group's members ``tid`` whose ``root`` differs and that may be similar, one member at a time: for each the ``most`` with the
+    highest bound on what they share, and one row without a pair for those left out (``cut``).  A pair
+    is given by the group of the first key that its prefixes share, and by no other: ``before`` are the keys that a member has before the group's."""
+    need = similarity / (1 + similarity)
 
     def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for columns in zip(batch["tid"], batch["root"], batch["n"], batch["at"], strict=True):
-                columns = [np.asarray(c, np.int64) for c in columns]
-                order = np.argsort(columns[0])
-                tid, root, n, at = (c[order] for c in columns)
+            for tid, root, n, at, cells, before in zip(batch["tid"], batch["root"], batch["n"], batch["at"], batch["cells"], batch["before"], strict=True):
+                order = np.argsort(np.asarray(tid, np.int64))
+                tid, root, n, at = (np.asarray(c, np.int64)[order] for c in (tid, root, n, at))
+                counts = np.stack([np.frombuffer(cells[i], "<u2") if cells[i] else np.full(CELLS, 1 << 15, "<u2") for i in order]).astype(np.int32)
+                before = [frozenset(before[i].tolist()) for i in order]
+                cut = 0
                 for i in range(len(tid) - 1):
-                    fine = (root[i + 1 :] != root[i]) & may_be_similar(n[i + 1 :], at[i + 1 :], n[i], at[i], similarity)
-                    other = tid[i + 1 :][fine]
+                    other = i + 1 + np.flatnonzero((root[i + 1 :] != root[i]) & may_be_similar(n[i + 1 :], at[i + 1 :], n[i], at[i], similarity))
+                    if len(other):
+                        bound = np.minimum(counts[other], counts[i]).sum(axis=1) / (n[other] + n[i])
+                        fine = bound >= need - 1e-9
+                        other = other[fine][np.argsort(-bound[fine], kind="stable")]
+                        mine = before[i]
+                        other = np.array([j for j in other.tolist() if mine.isdisjoint(before[j])], np.int64)
                     if len(other):
-                        yield pd.DataFrame({"u": np.full(len(other), tid[i]), "v": other})
+                        cut += max(0, len(other) - most)
+                        other = other[:most]
+                        yield pd.DataFrame({"u": np.full(len(other), tid[i]), "v": tid[other], "cut": np.zeros(len(other), np.int64)})
+                if cut:
+                    yield pd.DataFrame({"u": [0], "v": [0], "cut": [cut]})
 
     return pairs
 
 
-DESCRIBED = "doc_id long, mark long, tid long, fp long, n int, keys array<long>"
+DESCRIBED = "mark long, tid long, fp long, n int, keys array<long>, cells binary"
 
 
 def _may_be_similar(n: Column, at: Column, n2: Column, at2: Column, similarity: float) -> Column:
@@ -248,8 +295,11 @@ def near_copies(rows: DataFrame, scratch: Scratch, width: int, similarity: float
     """``(doc_id, mark, tid)`` for every row of ``rows(doc_id, mark, text)``, ``tid`` naming its text, and ``(tid, root)`` for the
     texts that are linked to another; ``root`` names the group."""
 
+    id_type = rows.schema["doc_id"].dataType
+
     def frame(out: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(out, columns=["doc_id", "mark", "tid", "fp", "n", "keys"]).astype({"doc_id": "Int64"})
+        out = pd.DataFrame(out, columns=["doc_id", "mark", "tid", "fp", "n", "keys", "cells"])
+        return out.astype({"doc_id": "Int64" if isinstance(id_type, IntegralType) else object})
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -257,7 +307,7 @@ def near_copies(rows: DataFrame, scratch: Scratch, width: int, similarity: float
             for doc_id, mark, text in zip(batch["doc_id"], batch["mark"], batch["text"], strict=True):
                 hashes = shingle_hashes(text, width)
                 single = np.unique(hashes)
-                out.append((doc_id, mark, _text_id(hashes), _signs(hashes), len(single), prefix(single, similarity, common).view(np.int64)))
+                out.append((doc_id, mark, _text_id(hashes), _signs(hashes), len(single), prefix(single, similarity, common).view(np.int64), cell_counts(single)))
                 if len(out) == 1000:  # a row is up to some kilobytes
                     yield frame(out)
                     out = []
@@ -266,8 +316,11 @@ def near_copies(rows: DataFrame, scratch: Scratch, width: int, similarity: float
 
     given = rows
     common = _common_shingles(given, width)
-    rows = scratch.table(given.mapInPandas(describe, DESCRIBED))
-    texts = scratch.table(rows.groupBy("tid").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("keys").alias("keys")))
+    rows = scratch.table(given.mapInPandas(describe, f"doc_id {id_type.simpleString()}, {DESCRIBED}"))
+    # Copies of a text are summed up here, once; from here on a text is one row however many copies it has.
+    one = F.min_by(F.struct("fp", "n", "keys", "cells"), "mark")
+    texts = rows.groupBy("tid").agg(F.min("mark").alias("mark"), one.alias("x"))
+    texts = scratch.table(texts.select("tid", "mark", "x.fp", "x.n", "x.keys", "x.cells"))
 
     def whole_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -285,7 +338,7 @@ def near_copies(rows: DataFrame, scratch: Scratch, width: int, similarity: float
     def verified(pairs: DataFrame) -> DataFrame:
         """Those of ``pairs(u, v)`` that are similar, by the whole shingle sets.  Only texts in a pair are read again."""
         asked = pairs.select(F.col("u").alias("tid")).unionAll(pairs.select(F.col("v").alias("tid"))).distinct()
-        marks = rows.join(asked, "tid", "left_semi").groupBy("tid").agg(F.min("mark").alias("mark"))
+        marks = texts.select("tid", "mark").join(asked, "tid")
         sets = scratch.table(given.select("mark", "text").join(marks, "mark").select("tid", "text").mapInPandas(whole_sets, "tid long, set binary").dropDuplicates(["tid"]))
         both = pairs.join(sets.select(F.col("tid").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("tid").alias("v"), F.col("set").alias("b")), "v")
         links = scratch.table(both.mapInPandas(verify, "u long, v long"))
@@ -303,7 +356,7 @@ def near_copies(rows: DataFrame, scratch: Scratch, width: int, similarity: float
     pairs = pairs.select(F.col("tid").alias("v"), F.col("end.tid").alias("u"))
     # The covering tables add every pair of fingerprints within the radius, by way of one text each.
     of_fp = texts.groupBy("fp").agg(F.min("tid").alias("least"))
-    near = near_links(of_fp.select("fp"), radius)
+    near = near_links(of_fp.select("fp"), radius, scratch)
     at = lambda name: of_fp.select(F.col("fp").alias(name), F.col("least").alias(f"{name}_text"))
     linked = near.join(at("u"), "u").join(at("v"), "v").select(F.col("u_text").alias("u"), F.col("v_text").alias("v"))
     same = texts.join(of_fp, "fp").select(F.col("least").alias("u"), F.col("tid").alias("v"))
@@ -311,19 +364,29 @@ def near_copies(rows: DataFrame, scratch: Scratch, width: int, similarity: float
     pairs = scratch.table(pairs)
     links = verified(pairs)
 
-    # Then every other pair of a shingle is, unless links found so far connect it already.
-    first = components(links, scratch).withColumnRenamed("node", "tid")
-    held = shared.select("key", "tid", "n", "at").join(first, "tid", "left").select("key", "tid", F.coalesce("root", "tid").alias("root"), "n", "at")
-    split = held.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("size")).filter("a < b AND size > 2").select("key")
-    groups = held.join(split, "key").groupBy("key").agg(F.collect_list(F.struct("tid", "root", "n", "at")).alias("all"))
-    groups = groups.select(*(F.col(f"all.{c}").alias(c) for c in ("tid", "root", "n", "at")))
-    rest = groups.mapInPandas(_unlinked(similarity), "u long, v long").distinct().join(pairs, ["u", "v"], "left_anti")
-    rest = scratch.table(rest)
-    more = verified(rest)
-    roots = components(links.unionAll(more), scratch)
+    # Then every other pair of a shingle is, unless links found so far connect it already: first the most promising few of each member, so that
+    # groups that are alike grow together before their pairs are many, then more, until no pair is left out.
+    roots, tried, most = scratch.table(components(links, scratch).withColumnRenamed("node", "tid")), pairs, 4
+    split = shared.join(roots, "tid", "left").groupBy("key").agg(F.countDistinct(F.coalesce("root", "tid")).alias("n"), F.count("*").alias("size")).filter("n > 1 AND size > 2")
+    held = shared.select("key", "tid", "n", "at").join(split.select("key"), "key").join(texts.select("tid", "cells", "keys"), "tid")
+    held = scratch.table(held.select("key", "tid", "n", "at", "cells", F.slice("keys", F.lit(1), F.col("at")).alias("before")))
+    member = F.struct("tid", "root", "n", "at", "cells", "before")
+    while True:
+        now = held.join(roots, "tid", "left").withColumn("root", F.coalesce("root", "tid"))
+        groups = now.groupBy("key").agg(F.collect_list(member).alias("all"), F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b")
+        groups = groups.select(*(F.col(f"all.{c}").alias(c) for c in ("tid", "root", "n", "at", "cells", "before")))
+        found = scratch.table(groups.mapInPandas(_unlinked(similarity, most), "u long, v long, cut long"))
+        cut = found.agg(F.sum("cut")).first()[0]
+        rest = scratch.table(found.filter("cut = 0").select("u", "v").join(tried, ["u", "v"], "left_anti"))
+        links = scratch.table(links.unionAll(verified(rest)))
+        scratch.remove(found)
+        roots = scratch.table(components(links, scratch).withColumnRenamed("node", "tid"))
+        if not cut:
+            break
+        tried, most = tried.unionAll(rest), 4 * most
     named = scratch.table(rows.select("doc_id", "mark", "tid"))
-    scratch.remove(rows, texts, shared, pairs, rest, links, more)
-    return named, roots.withColumnRenamed("node", "tid")
+    scratch.remove(rows, texts, shared, held, pairs, rest, links)
+    return named, roots
 
 
 def near_dedup(
@@ -342,12 +405,12 @@ def near_dedup(
     least similarity or more.
 
     Of each group stays the row of the smallest id (nulls last), then of the smallest checksum of all columns; of rows equal in
-    every column one stays.  Texts without words (null, empty, white space) are copies of each other.  An empty table gives no rows.
+    every column one stays.  Ids may be of any type that compares; very long texts are compared whole.  Texts without words (null, empty, white space) are copies of each other.  An empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "near-dedup")
     hashed = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind]
     every = F.xxhash64(*hashed)
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), every.alias("mark"), F.col(f"`{text_col}`").alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), every.alias("mark"), F.col(f"`{text_col}`").alias("text"))
     named, roots = near_copies(rows, scratch, width, similarity, radius)
     # A row is known by its id and checksum; rows equal in both are counted.  Copies of a text are summed up before groups are joined.
     order = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "mark")
@@ -357,7 +420,7 @@ def near_dedup(
     names = {c: unused(docs, c) for c in ("key", "mark", "size")}
     kept = kept.select(F.col("doc_id").alias(names["key"]), F.col("mark").alias(names["mark"]), F.col("size").alias(names["size"]))
     found = docs.withColumn(names["mark"], every).join(kept, names["mark"])
-    found = found.filter(F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(names["key"])))
+    found = found.filter(F.col(f"`{id_col}`").eqNullSafe(F.col(names["key"])))
     columns = [F.col(f"`{c}`") for c in docs.columns]
     alone = found.filter(F.col(names["size"]) == 1).select(*columns)
     return alone.unionAll(found.filter(F.col(names["size"]) > 1).select(*columns).dropDuplicates())

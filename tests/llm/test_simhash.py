@@ -215,3 +215,79 @@ def test_odd_input(spark):
     nulls = documents(spark, ["same words", "same words"], [None, None])
     assert S.near_dedup(nulls).count() == 1
     assert {r["component_id"] for r in S.simhash_components(nulls).collect()} == {None}
+
+
+def test_large_buckets_are_cut_without_losing_links(spark):
+    """Cutting every bucket by the bits that its table does not keep changes no component."""
+    from kindred.llm.components import components
+    from kindred.llm.shared import Scratch
+
+    rng = random.Random(5)
+    base = [rng.getrandbits(64) for _ in range(40)]
+    values = {b ^ sum(1 << i for i in rng.sample(range(64), rng.randrange(4))) for b in base for _ in range(12)}
+    df = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for v in values], "fp long")
+    scratch = Scratch(spark, "cut")
+    whole, cut = ({tuple(r) for r in components(S.near_links(df, 2, scratch, most), scratch).collect()} for most in (50_000, 1))
+    assert whole == cut and len(whole) > 100
+
+
+def brute_groups(sets, similarity=0.8):
+    root = list(range(len(sets)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if min(len(a), len(b)) >= similarity * max(len(a), len(b)) and len(a & b) >= similarity * len(a | b):
+                root[find(i)] = find(j)
+    groups = {}
+    for i in range(len(sets)):
+        groups.setdefault(find(i), set()).add(i)
+    return {frozenset(g) for g in groups.values() if len(g) > 1}
+
+
+def near_groups(spark, docs):
+    from kindred.llm.shared import Scratch
+
+    rows = docs.selectExpr("doc_id", "xxhash64(doc_id, text) AS mark", "text")
+    named, roots = S.near_copies(rows, Scratch(spark, "groups"), 5, 0.8, 2)
+    groups = {}
+    for r in named.join(roots, "tid", "left").selectExpr("doc_id", "coalesce(root, tid) AS root").collect():
+        groups.setdefault(r["root"], set()).add(r["doc_id"])
+    return {frozenset(g) for g in groups.values() if len(g) > 1}
+
+
+def test_near_copies_among_strangers_that_share_a_template(spark):
+    """Texts of one template, alike at 0.6 to 0.75, with pairs of near copies in between."""
+    rng = random.Random(8)
+    template = prose(rng, 160).split()
+    texts = []
+    for i in range(40):
+        own = prose(rng, rng.randrange(22, 40)).split()
+        texts.append(" ".join(template + own))
+        if i % 3 == 0:
+            texts.append(" ".join([*template, *own[:-2], "changed", "end"]))
+    order = list(range(len(texts)))
+    rng.shuffle(order)
+    docs = documents(spark, [texts[i] for i in order])
+    sets = [set(S.shingle_hashes(texts[i], 5).tolist()) for i in order]
+    want = brute_groups(sets)
+    assert len(want) >= 10
+    assert near_groups(spark, docs) == want
+
+
+def test_groups_of_the_given_documents_equal_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = docs.select("doc_id", "text").collect()
+    sets = [set(S.shingle_hashes(r["text"], 5).tolist()) for r in rows]
+    want = {frozenset(rows[i]["doc_id"] for i in g) for g in brute_groups(sets)}
+    assert near_groups(spark, docs) == want and len(want) > 20
+
+
+def test_near_dedup_with_text_ids(spark):
+    docs = spark.createDataFrame([("b", "one two three four five six"), ("a", "one two three four five six"), (None, "other words than those here now")], "doc_id string, text string")
+    assert {r["doc_id"] for r in S.near_dedup(docs).collect()} == {"a", None}
