@@ -1,7 +1,8 @@
 """Nested JSON to paths and values.
 
-Which paths arise depends on key order, list length and list contents, so documents are walked in Python, one at a time in Arrow batches; everything before and
-after that is DataFrame code."""
+A document is walked once, by no rule but its own structure, into leaves: a path, a scalar, and the lists that the leaf stands in (each with
+its length, what it holds, and the position and type of the element).  Everything else is DataFrame code over leaves: which are
+skipped, to which output path each contributes and how the contributions to a path are summed up."""
 
 from __future__ import annotations
 
@@ -42,133 +43,37 @@ BEARING_OWN_KEYS = {"axial_preload_forces", "temperature_rise", "grease_slinger"
 KEY_SAFETY_FIELDS = ("transmittable_torque", "shaft_diameter", "position")
 
 
-def _number(x) -> float | None:
-    try:
-        return float(x)
-    except (TypeError, ValueError):
-        return None
-
-
-def _spread(out: dict, at: str, values: list[float], *names: str) -> None:
-    how = {"_sum": sum, "_min": min, "_max": max, "_mean": lambda v: sum(v) / len(v), "_count": len}
-    out.update({f"{at}.{n}": how[n](values) for n in names})
-
-
-def _present(out: dict, at: str, fields: dict) -> None:
-    out.update({f"{at}.{k}": v for k, v in fields.items() if v is not None})
-
-
-def _segments(items: list[dict], out: dict) -> None:
-    kinds: dict[str, list[dict]] = {}
-    for s in items:
-        kinds.setdefault(s.get("type", "unknown"), []).append(s)
-    out["segments._total_count"], out["segments._type_count"] = len(items), len(kinds)
-    for kind, group in kinds.items():
-        at = f"segments.{kind}"
-        out[f"{at}._count"] = len(group)
-        for field in SEGMENT_FIELDS:
-            numbers = [n for s in group if s.get(field) is not None and (n := _number(s[field])) is not None]
-            if len(numbers) == 1:
-                out[f"{at}.{field}"] = numbers[0]
-            elif numbers:
-                _spread(out, f"{at}.{field}", numbers, "_sum", "_max", "_min")
-        for field in ("description", "designation"):
-            texts = [s[field] for s in group if s.get(field)]
-            if texts:
-                out[f"{at}.{field}"] = texts[0] if len(texts) == 1 else "; ".join(map(str, texts[:3]))
-        for field in ("parallel_key", "stiffness"):
-            if held := next((s[field] for s in group if field in s), None):
-                _present(out, f"{at}.{field}", held)
-        shoulder = next((s["shoulder"] for s in group if "shoulder" in s), {})
-        for side, fields in shoulder.items():
-            if isinstance(fields, dict):
-                _present(out, f"{at}.shoulder.{side}", fields)
-        functions = {f for s in group for f in s.get("function", [])}
-        if functions:
-            out[f"{at}._functions"] = "; ".join(sorted(functions))
-
-
-def _safety(items: list[dict], path: str, out: dict) -> None:
-    out[f"{path}._count"] = len(items)
-    if "shaft_safety" in path:
-        for field in ("fatigue_strength", "yield_strength"):
-            found = [x for e in items if isinstance(x := e.get("safety", {}).get(field), (int, float))]
-            if found:
-                _spread(out, f"{path}.{field}", [float(x) for x in found], "_min", "_max", "_mean")
-    else:
-        for e in items:  # of several entries the last to have a field counts
-            _present(out, path, {k: e.get(k) for k in KEY_SAFETY_FIELDS})
-            for part in ("key", "shaft"):
-                _present(out, f"{path}.safety.{part}", e.get("safety", {}).get(part, {}))
-
-
-def _bearing(node, path: str, out: dict) -> None:
-    if isinstance(node, dict):
-        for k, v in node.items():
-            if isinstance(v, (dict, int, float)):
-                _bearing(v, f"{path}.{k}", out)
-            elif isinstance(v, str):
-                out[f"{path}.{k}"] = v
-    elif isinstance(node, (int, float)):
-        out[path] = node
-
-
-def _list(items: list, path: str, out: dict) -> None:
-    if not items or "relubrication.masses" in path and not path.endswith("rotor.segments"):
-        return
-    if path.endswith("rotor.segments"):
-        _segments(items, out)
-    elif "shaft_safety.output" in path or "parallelkey_safety.output" in path:
-        _safety(items, path, out)
-    elif "roller_bearings.output.DE" in path or "roller_bearings.output.NDE" in path:
-        _bearing(items[0], path, out)
-    elif all(isinstance(x, (int, float)) for x in items):
-        if len(items) == 1:
-            out[path] = items[0]
-        else:
-            _spread(out, path, [float(x) for x in items], "_min", "_max", "_mean", "_count")
-    elif len(items) <= 3 and all(isinstance(x, dict) for x in items):
-        for i, x in enumerate(items):
-            _walk(x, f"{path}[{i}]", out)
-
-
-def _walk(node: dict, prefix: str, out: dict) -> None:
-    for key, value in node.items():
-        path = f"{prefix}.{key}" if prefix else key
-        if any(s in path for s in SKIPPED):
-            continue
-        if isinstance(value, dict):
-            _walk(value, path, out)
-        elif isinstance(value, list):
-            _list(value, path, out)
-        elif value is not None:
-            out[path] = value
-
-
-def number_bearings(flat: dict) -> dict:
-    """Bearing names in paths replaced by ``bearing_1``, ``bearing_2``, ... in the order they occur."""
-    seen: dict[str, int] = {}
-    out = {}
-    for path, value in flat.items():
-        name, dot, rest = path.removeprefix(BEARING_PREFIX).partition(".")
-        if path.startswith(BEARING_PREFIX) and name not in BEARING_OWN_KEYS:
-            path = f"{BEARING_PREFIX}bearing_{seen.setdefault(name, len(seen) + 1)}{dot}{rest}"
-        out[path] = value
-    return out
-
-
-def flatten(document: dict) -> dict:
-    """Paths and scalar values of one document, in order."""
-    out: dict = {}
-    if isinstance(document, dict):
-        _walk(document, "", out)
-    return number_bearings(out)
+LEAF = (
+    "doc long, entity string, ord long, path string, num double, text string, "
+    "lists array<struct<path: string, at: long, size: long, holds: string, type: string>>, error string"
+)
+FLAT = "entity_id string, ordinal long, parameter string, value_num double, value_str string, error string"
 
 
-FLAT = "entity_id string, ordinal long, parameter string, value_num double, value_str string, error string"
+def _holds(items: list) -> str:
+    kinds = {"dicts" if isinstance(x, dict) else "numbers" if isinstance(x, (int, float)) else "others" for x in items}
+    return kinds.pop() if len(kinds) == 1 else "others"
+
+
+def leaves(document: dict) -> Iterator[tuple]:
+    """``(path, number, text, lists)`` of every scalar, null and empty container of a document, in order."""
+    open_ = [("", document, ())]
+    while open_:
+        path, node, lists = open_.pop()
+        if isinstance(node, dict) and node:
+            open_ += [(f"{path}.{k}" if path else k, v, lists) for k, v in reversed(node.items())]
+        elif isinstance(node, list) and node:
+            holds = _holds(node)
+            for at in range(len(node) - 1, -1, -1):
+                kind = str(node[at].get("type", "unknown")) if holds == "dicts" else None
+                open_.append((f"{path}[{at}]", node[at], (*lists, (path, at, len(node), holds, kind))))
+        elif isinstance(node, (int, float)):
+            yield path, float(node), None, lists
+        else:
+            yield path, None, node if isinstance(node, str) else None, lists
 
 
-def _rows(name: str | None, text: str | None, strict: bool) -> list[tuple]:
+def _document_rows(doc: int, name: str | None, text: str | None, strict: bool) -> list[tuple]:
     try:
         document = json.loads(text or "")
         if not isinstance(document, dict):
@@ -179,26 +84,160 @@ def _rows(name: str | None, text: str | None, strict: bool) -> list[tuple]:
     except ValueError as problem:
         if strict:
             raise
-        return [(name, -1, None, None, None, str(problem))]
-    rows = []
-    for i, (path, v) in enumerate(flatten(document).items()):
-        number = isinstance(v, (int, float))
-        rows.append((str(entity), i, path, float(v) if number else None, None if number else str(v), None))
-    return rows
+        return [(doc, name, -1, None, None, None, [], str(problem))]
+    return [(doc, str(entity), i, path, num, value, lists, None) for i, (path, num, value, lists) in enumerate(leaves(document))]
+
+
+def _has(path: Column, *parts: str) -> Column:
+    return F.greatest(*(path.contains(p) for p in parts)) if len(parts) > 1 else path.contains(parts[0])
+
+
+def _rule(path: Column) -> Column:
+    """What a list's path says about it; null for a list without a rule of its own."""
+    return (
+        F.when(path.endswith("rotor.segments"), "segments")
+        .when(path.contains("relubrication.masses"), "dropped")
+        .when(path.contains("shaft_safety.output"), "strengths")
+        .when(path.contains("parallelkey_safety.output"), "keys")
+        .when(_has(path, "roller_bearings.output.DE", "roller_bearings.output.NDE"), "first")
+    )
+
+
+def _contributions(leaf: DataFrame) -> DataFrame:
+    """Leaves with ``slots``: each output path that a leaf contributes to, how contributions are summed up, and with what."""
+    passed = lambda x: (x["holds"] == "dicts") & (x["size"] <= 3) & _rule(x["path"]).isNull()
+    leaf = leaf.withColumn("decides", F.try_element_at(F.filter("lists", lambda x: ~passed(x)), F.lit(1)))
+    at, path, size = F.col("decides.at"), F.col("decides.path"), F.col("decides.size")
+    rule = F.when(F.col("decides").isNull(), "plain").otherwise(F.coalesce(_rule(path), F.when(F.col("decides.holds") == "numbers", "numbers").otherwise("dropped")))
+    leaf = leaf.withColumn("rule", rule).filter(F.col("error").isNotNull() | (F.col("rule") != "dropped") & ~_has(F.coalesce(path, "path"), *SKIPPED))
+    # Where the leaf stands below the element of the deciding list: "length", "shoulder.left.r", "function[0]".
+    rest = F.regexp_replace(F.expr("substr(path, length(decides.path) + length(cast(decides.at AS string)) + 3)"), r"^\.", "")
+    leaf = leaf.withColumn("rest", rest)
+    rest, given = F.col("rest"), F.col("num").isNotNull() | F.col("text").isNotNull()
+    text = F.coalesce(F.col("text"), F.col("num").cast("string"))
+
+    def slot(to, how: str, num=None, value=None, family=None):
+        none = F.lit(None)
+        return F.struct(
+            to.alias("to"),
+            F.lit(how).alias("how"),
+            (none if num is None else num).cast("double").alias("num"),
+            (none if value is None else value).cast("string").alias("text"),
+            (none if family is None else family).cast("string").alias("family"),
+        )
+
+    def slots(*options):
+        return F.array_compact(F.array(*(F.when(condition, x) for condition, x in options)))
+
+    always, whole = F.lit(True), lambda to: slot(to, "last", F.col("num"), F.col("text"))
+    kind = F.concat(F.lit("segments."), F.col("decides.type"))
+    number = F.coalesce(F.col("num"), F.expr("try_cast(text AS double)"))
+    below = lambda *names: F.regexp_extract(rest, rf"^({'|'.join(names)})(?=\.|$)", 1)
+    part = below("parallel_key", "stiffness", "shoulder")
+    fitting = F.when(part == "shoulder", rest.rlike(r"^shoulder\.[^.\[]+\.[^.\[]+$")).otherwise(rest.rlike(r"^\w+\.[^.\[]+$"))
+    segments = slots(
+        (always, slot(F.lit("segments._total_count"), "last", size)),
+        (always, slot(F.lit("segments._type_count"), "different", None, F.col("decides.type"))),
+        (always, slot(F.concat(kind, F.lit("._count")), "elements")),
+        (rest.isin(*SEGMENT_FIELDS) & number.isNotNull(), slot(F.concat_ws(".", kind, rest), "sum max min", number)),
+        (rest.isin("description", "designation") & given & (F.coalesce("text", F.lit("x")) != "") & (F.coalesce("num", F.lit(1)) != 0), slot(F.concat_ws(".", kind, rest), "texts", None, text)),
+        (part != "", slot(F.concat_ws(".", kind, rest), "of the first", F.when(fitting, F.col("num")), F.when(fitting, F.col("text")), F.concat_ws(".", kind, part))),
+        (rest.rlike(r"^function\[\d+\]$") & given, slot(F.concat(kind, F.lit("._functions")), "set", None, text)),
+    )
+    strength = F.regexp_extract(rest, r"^safety\.(fatigue_strength|yield_strength)$", 1)
+    strengths = slots(
+        (always, slot(F.concat(path, F.lit("._count")), "last", size)),
+        ((strength != "") & F.col("num").isNotNull(), slot(F.concat_ws(".", path, strength), "min max mean", F.col("num"))),
+    )
+    keys = slots(
+        (always, slot(F.concat(path, F.lit("._count")), "last", size)),
+        ((rest.isin(*KEY_SAFETY_FIELDS) | rest.rlike(r"^safety\.(?:key|shaft)\.[^.\[]+$")) & given, whole(F.concat_ws(".", path, rest))),
+    )
+    first = slots(((at == 0) & given & ~rest.contains("[") & ((rest != "") | F.col("num").isNotNull()), whole(F.when(rest == "", path).otherwise(F.concat_ws(".", path, rest)))))
+    out = F.when(F.col("rule") == "plain", slots((given, whole(F.col("path"))))).when(F.col("rule") == "numbers", slots((always, slot(path, "one or min max mean count", F.col("num")))))
+    out = out.when(F.col("rule") == "segments", segments).when(F.col("rule") == "strengths", strengths).when(F.col("rule") == "keys", keys).otherwise(first)
+    return leaf.withColumn("slots", F.when(F.col("error").isNull(), out))
+
+
+def _summed_up(parts: DataFrame) -> DataFrame:
+    """One row for each output path: contributions summed up as ``how`` says, in rows ``(doc, entity, ord, parameter, num, text)``."""
+    n, number = F.col("n"), F.col("numbers")
+    sums = parts.groupBy("doc", "entity", "to", "how", "family").agg(
+        F.min("ord").alias("ord"),
+        F.count("*").alias("n"),
+        F.min("at").alias("at"),
+        F.size(F.collect_set("at")).alias("elements"),
+        F.struct(F.sum("num").alias("sum"), F.min("num").alias("min"), F.max("num").alias("max"), F.avg("num").alias("mean"), F.count("num").cast("double").alias("count")).alias("numbers"),
+        F.max_by(F.struct("num", "text"), "ord").alias("last"),
+        F.min_by(F.struct("num", "text"), "ord").alias("first"),
+        F.transform(F.slice(F.array_sort(F.collect_list(F.struct("ord", "text"))), 1, 3), lambda x: x["text"]).alias("texts"),
+        F.array_sort(F.collect_set("text")).alias("set"),
+    )
+    # Of several elements with a part only the first counts, with what it has.
+    sums = sums.withColumn("least", F.min("at").over(Window.partitionBy("doc", "family"))).filter((F.col("how") != "of the first") | (F.col("at") == F.col("least")))
+
+    def row(suffix: str, num=None, text=None):
+        return F.struct(F.lit(suffix).alias("suffix"), (F.lit(None) if num is None else num).cast("double").alias("num"), (F.lit(None) if text is None else text).cast("string").alias("text"))
+
+    def spread(*names: str):
+        return F.array(*(row(f"._{x}", number[x]) for x in names))
+
+    how, single = F.col("how"), F.array(row("", number["max"]))
+    rows = (
+        F.when(how == "last", F.array(row("", F.col("last.num"), F.col("last.text"))))
+        .when(how == "of the first", F.array(row("", F.col("first.num"), F.col("first.text"))))
+        .when(how == "one or min max mean count", F.when(n == 1, single).otherwise(spread("min", "max", "mean", "count")))
+        .when(how == "sum max min", F.when(n == 1, single).otherwise(spread("sum", "max", "min")))
+        .when(how == "min max mean", spread("min", "max", "mean"))
+        .when(how == "elements", F.array(row("", F.col("elements"))))
+        .when(how == "different", F.array(row("", F.size("set"))))
+        .when(how == "texts", F.array(row("", None, F.array_join("texts", "; "))))
+        .otherwise(F.array(row("", None, F.array_join("set", "; "))))
+    )
+    out = sums.select("doc", "entity", "ord", "to", F.posexplode(rows).alias("turn", "x"))
+    out = out.select("doc", "entity", "ord", "turn", F.concat("to", "x.suffix").alias("parameter"), "x.num", "x.text")
+    return out.filter(F.col("num").isNotNull() | F.col("text").isNotNull())
+
+
+def _number_bearings(rows: DataFrame) -> DataFrame:
+    """Bearing names in paths replaced by ``bearing_1``, ``bearing_2``, ... in the order they occur in a document."""
+    below = F.when(F.col("parameter").startswith(BEARING_PREFIX), F.expr(f"substr(parameter, {len(BEARING_PREFIX) + 1})"))
+    name = F.regexp_extract(below, r"^([^.]*)", 1)
+    rows = rows.withColumn("name", F.when(~name.isin(*sorted(BEARING_OWN_KEYS)), name))
+    rows = rows.withColumn("begins", F.min("ord").over(Window.partitionBy("doc", "name")))
+    order = Window.partitionBy("doc", F.col("name").isNull()).orderBy("begins")
+    turn = F.dense_rank().over(order)
+    rest = F.expr(f"substr(parameter, {len(BEARING_PREFIX) + 1} + length(name))")
+    return rows.withColumn("parameter", F.when(F.col("name").isNotNull(), F.concat(F.lit(BEARING_PREFIX + "bearing_"), turn.cast("string"), rest)).otherwise(F.col("parameter"))).drop("name", "begins")
 
 
 def flatten_json(df: DataFrame, text: Column, name: Column, strict: bool = False) -> DataFrame:
-    """``FLAT`` rows of JSON documents.  Booleans are numbers.
+    """``FLAT`` rows of JSON documents, numbered in document order.  Booleans are numbers.
 
     A document that is no JSON object, or without ``machine_id``, gives one row with an ``error`` and no parameter; with ``strict`` bad JSON fails
-    and the id falls back to ``name``."""
+    and the id falls back to ``name``.  Leaves are dealt by document once; all that follows stays in that partitioning."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["doc", "entity", "ord", "path", "num", "text", "lists", "error"]
         for batch in batches:
-            rows = [r for n, t in zip(batch["n"], batch["t"], strict=True) for r in _rows(n, t, strict)]
-            yield pd.DataFrame(rows, columns=["entity_id", "ordinal", "parameter", "value_num", "value_str", "error"])
-
-    return df.select(name.cast("string").alias("n"), text.alias("t")).mapInPandas(run, FLAT)
+            rows = [r for d, n, t in zip(batch["doc"], batch["n"], batch["t"], strict=True) for r in _document_rows(d, n, t, strict)]
+            yield pd.DataFrame(rows, columns=columns)
+
+    docs = df.select(F.monotonically_increasing_id().alias("doc"), name.cast("string").alias("n"), text.alias("t"))
+    leaf = _contributions(docs.mapInPandas(walk, LEAF)).select("doc", "entity", "ord", "decides.at", "error", F.explode_outer("slots").alias("s"))
+    leaf = leaf.select("doc", "entity", "ord", "at", "error", "s.to", "s.how", "s.num", "s.text", "s.family").filter("error IS NOT NULL OR to IS NOT NULL").repartition("doc")
+    # Bad documents go through as one contribution that is its own row.
+    good = _number_bearings(_summed_up(leaf.withColumn("to", F.coalesce("to", F.lit(""))).withColumn("how", F.coalesce("how", F.lit("last"))).withColumn("text", F.coalesce("error", "text"))))
+    ordinal = F.row_number().over(Window.partitionBy("doc").orderBy("ord", "turn", "parameter")).cast("long") - 1
+    bad = F.col("ord") < 0
+    return good.select(
+        F.col("entity").alias("entity_id"),
+        F.when(bad, F.lit(-1).cast("long")).otherwise(ordinal).alias("ordinal"),
+        F.when(~bad, F.col("parameter")).alias("parameter"),
+        F.col("num").alias("value_num"),
+        F.when(~bad, F.col("text")).alias("value_str"),
+        F.when(bad, F.col("text")).alias("error"),
+    )
 
 
 def values_of(flat: DataFrame) -> DataFrame:

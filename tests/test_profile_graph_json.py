@@ -84,8 +84,39 @@ DOCUMENT = {
 }
 
 
-def test_flatten():
-    got = flatten.flatten(DOCUMENT)
+def flat(spark, *documents):
+    import json
+
+    rows = spark.createDataFrame([(f"d{i}", json.dumps(x)) for i, x in enumerate(documents)], "name string, text string")
+    out = [{} for _ in documents]
+    for r in flatten.flatten_json(rows, F.col("text"), F.col("name")).orderBy("ordinal").collect():
+        out[int(r["entity_id"][1:]) - 1][r["parameter"]] = r["value_str"] if r["value_num"] is None else r["value_num"]
+    return out
+
+
+def test_leaves_are_of_the_structure_alone():
+    got = list(flatten.leaves({"a": {"b": 1, "c": None}, "d": [{"type": "t", "e": True}, {}], "f": [], "g": ["x", [2]]}))
+    assert [(p, n, t) for p, n, t, _ in got] == [("a.b", 1, None), ("a.c", None, None), ("d[0].type", None, "t"), ("d[0].e", 1, None), ("d[1]", None, None), ("f", None, None), ("g[0]", None, "x"), ("g[1][0]", 2, None)]
+    assert got[3][3] == (("d", 0, 2, "dicts", "t"),) and got[4][3] == (("d", 1, 2, "dicts", "unknown"),)
+    assert got[7][3] == (("g", 1, 2, "others", None), ("g[1]", 0, 1, "numbers", None))
+
+
+def test_segments_parts_and_repeated_documents(spark):
+    """Of several segments of a type the first that has a part counts, with what it has; equal documents stay apart."""
+    segments = [{"length": 1}, {"parallel_key": {"b": 1}, "designation": "x"}, {"parallel_key": {"b": 2, "c": 3}, "designation": ""}, {"stiffness": None}, {"stiffness": {"k": 1}}, {}]
+    document = {"machine_id": "M1", "a": {"rotor": {"segments": segments}}, "x": [{"y": [1, 2]}, {"y": [3]}], "username": 1, "z": {"tag": {"q": 1}}}
+    want = {"segments._total_count": 6, "segments._type_count": 1, "segments.unknown._count": 6, "segments.unknown.length": 1, "segments.unknown.parallel_key.b": 1, "segments.unknown.designation": "x"}
+    want |= {"machine_id": "M1", "x[0].y._min": 1, "x[0].y._max": 2, "x[0].y._mean": 1.5, "x[0].y._count": 2, "x[1].y": 3}
+    assert flat(spark, document) == [want]
+    assert flat(spark, document, document | {"machine_id": "M2"})[1] == want | {"machine_id": "M2"}
+    import json
+
+    rows = spark.createDataFrame([("a", json.dumps(document))] * 2, "name string, text string")
+    assert flatten.flatten_json(rows, F.col("text"), F.col("name")).count() == 2 * len(want)
+
+
+def test_flatten(spark):
+    got = flat(spark, DOCUMENT)[0]
     assert "none" not in got and "empty" not in got and "texts" not in got and not any(k.startswith("many") for k in got)
     assert got["one"] == 5 and got["flags._mean"] == 0.5 and got["flags._count"] == 2
     assert got["few[1].x"] == 2
