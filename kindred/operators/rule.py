@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import plain_number, squeeze
 from ..model import CATEGORIES, DEFAULT_WEIGHTS, SHORT, category
+from .tiles import paired
 
 KEY = ["component", "param"]
 
@@ -113,7 +114,7 @@ def rule_pairs(features: DataFrame, weights: dict[str, float] = DEFAULT_WEIGHTS,
     a = cells.select(F.col("entity_id").alias("a"), *KEY, "category", F.col("value_num").alias("na"), F.col("value_str").alias("sa"), "vmin", "vmax")
     b = cells.select(F.col("entity_id").alias("b"), *KEY, F.col("value_num").alias("nb"), F.col("value_str").alias("sb"))
     sim = value_similarity(F.col("na"), F.col("sa"), F.col("nb"), F.col("sb"), F.col("vmin"), F.col("vmax"))
-    met = a.join(b, KEY).filter("a < b").select("a", "b", "category", sim.alias("sim"))
+    met = paired(a, b, list(KEY)).select("a", "b", "category", sim.alias("sim"))
     met = met.groupBy("a", "b", "category").agg(F.coalesce(F.sum("sim"), F.lit(0.0)).alias("score"), F.count("sim").alias("scored"), F.count("*").alias("shared"))
     sizes = cells.groupBy("entity_id", "category").agg(F.count("*").alias("size"))
     wide = sizes.groupBy("entity_id").pivot("category", list(CATEGORIES)).agg(F.first("size"))
@@ -122,7 +123,7 @@ def rule_pairs(features: DataFrame, weights: dict[str, float] = DEFAULT_WEIGHTS,
     )
     left = wide.select(F.col("entity_id").alias("a"), *(F.coalesce(F.col(c), F.lit(0)).alias(f"a{i}") for i, c in enumerate(CATEGORIES)))
     right = wide.select(F.col("entity_id").alias("b"), *(F.coalesce(F.col(c), F.lit(0)).alias(f"b{i}") for i, c in enumerate(CATEGORIES)))
-    every = left.join(right, F.col("a") < F.col("b")).join(met, ["a", "b"], "left")
+    every = paired(left, right).join(met, ["a", "b"], "left")
     zero = lambda name: F.coalesce(F.col(name), F.lit(0))
     sims = {}
     for i, c in enumerate(CATEGORIES):

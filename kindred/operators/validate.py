@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .vectors import top_k_per_entity
+from ..store import kept
 
 
 def label(pairs: DataFrame, method: str, score: str = "sim_total") -> DataFrame:
@@ -51,12 +51,19 @@ def histogram(pairs: DataFrame, bins: int = 30) -> DataFrame:
 # --- correlation -----------------------------------------------------------------------------------------------
 
 
+RANGES = 4096
+
+
 def _ranks(pairs: DataFrame) -> DataFrame:
-    """Average rank of each similarity within its method.  Values are counted first, so a rank needs an order of distinct values
-    only, and the running sum is over those."""
+    """Average rank of each similarity within its method.  Values are counted first, so a rank needs an order of distinct values only; they are
+    ordered within ``RANGES`` ranges of a method, and a range begins at the number of values in the ranges below."""
     values = pairs.groupBy("method", "sim").agg(F.count("*").alias("ties"))
-    before = Window.partitionBy("method").orderBy("sim").rowsBetween(Window.unboundedPreceding, -1)
-    ranks = values.withColumn("rank", F.coalesce(F.sum("ties").over(before), F.lit(0)) + (F.col("ties") + 1) / 2)
+    values = values.withColumn("range", F.greatest(F.lit(0), F.least(F.lit(RANGES), F.floor(F.coalesce("sim", F.lit(0.0)) * RANGES))))
+    running = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    below = values.groupBy("method", "range").agg(F.sum("ties").alias("n")).withColumn("below", F.coalesce(F.sum("n").over(running("method", "range")), F.lit(0)))
+    inside = F.coalesce(F.sum("ties").over(running("method", "range", "sim")), F.lit(0))
+    ranks = values.withColumn("inside", inside).join(below.select("method", "range", "below"), ["method", "range"])
+    ranks = ranks.withColumn("rank", F.col("below") + F.col("inside") + (F.col("ties") + 1) / 2)
     return pairs.join(ranks.select("method", "sim", "rank"), ["method", "sim"])
 
 
@@ -92,7 +99,7 @@ def spearman_p(rho: float | None, n: int) -> float | None:
 
 def spearman(pairs: DataFrame, reference: str) -> DataFrame:
     """``(method, rho, n)``: rank correlation of every other method with the reference method."""
-    ranks = _ranks(pairs)
+    ranks = kept(_ranks(kept(pairs, "pairs")), "ranks")  # both are read several times
     base = ranks.filter(F.col("method") == reference).select("a", "b", F.col("rank").alias("base"))
     return ranks.filter(F.col("method") != reference).join(base, ["a", "b"]).groupBy("method").agg(F.corr("rank", "base").alias("rho"), F.count("*").alias("n"))
 
@@ -105,7 +112,7 @@ def spearman_table(pairs: DataFrame, reference: str) -> DataFrame:
 
 def spearman_matrix(pairs: DataFrame) -> DataFrame:
     """``(method_a, method_b, rho)`` for all ordered pairs of methods; 1 on the diagonal."""
-    ranks = _ranks(pairs)
+    ranks = kept(_ranks(kept(pairs, "pairs")), "ranks")
     x = ranks.select("a", "b", F.col("method").alias("method_a"), F.col("rank").alias("x"))
     y = ranks.select("a", "b", F.col("method").alias("method_b"), F.col("rank").alias("y"))
     out = x.join(y, ["a", "b"]).groupBy("method_a", "method_b").agg(F.corr("x", "y").alias("rho"))
@@ -114,10 +121,9 @@ def spearman_matrix(pairs: DataFrame) -> DataFrame:
 
 def jaccard_top(pairs: DataFrame, reference: str, k: int = 10) -> DataFrame:
     """``(method, jaccard)``: mean overlap, over all entities, of each method's k most similar others with the reference's."""
-    best = None
-    for r in pairs.select("method").distinct().orderBy("method").collect():
-        own = top_k_per_entity(pairs.filter(F.col("method") == r["method"]), k).select(F.lit(r["method"]).alias("method"), "a", "b")
-        best = own if best is None else best.unionAll(own)
+    both = pairs.select("method", "a", "b", "sim").unionAll(pairs.select("method", F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
+    order = Window.partitionBy("method", "a").orderBy(F.desc("sim"), "b")
+    best = kept(both.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k).select("method", "a", "b"), "best")
     base = best.filter(F.col("method") == reference).select("a", "b", F.lit(True).alias("hit"))
     others = best.filter(F.col("method") != reference).join(base, ["a", "b"], "left").groupBy("method", "a").agg(F.count("hit").alias("both"), F.count("*").alias("n"))
     sizes = base.groupBy("a").agg(F.count("*").alias("m"))
@@ -127,6 +133,7 @@ def jaccard_top(pairs: DataFrame, reference: str, k: int = 10) -> DataFrame:
 
 def regression(pairs: DataFrame, reference: str) -> DataFrame:
     """``(method, slope, intercept)``: least-squares line of each method's similarity on the reference's."""
+    pairs = kept(pairs, "pairs")
     base = pairs.filter(F.col("method") == reference).select("a", "b", F.col("sim").alias("x"))
     joined = pairs.filter(F.col("method") != reference).join(base, ["a", "b"])
     return joined.groupBy("method").agg(F.regr_slope("sim", "x").alias("slope"), F.regr_intercept("sim", "x").alias("intercept"))

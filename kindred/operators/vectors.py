@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import scale, squeeze
 from ..model import CATEGORIES, DEFAULT_WEIGHTS, SHORT, category
 from .rule import KEY, numeric_stats, top_k, weighted_total
+from .tiles import paired
 
 MISSING = "<MISSING>"
 
@@ -94,11 +95,11 @@ def vector_pairs(vectors: DataFrame, weights: dict[str, float] = DEFAULT_WEIGHTS
     """``(a, b, sim_geom, sim_mtrl, sim_req, sim_total)`` for every pair a < b."""
     a = vectors.select(F.col("entity_id").alias("a"), "category", "idx", F.col("val").alias("x"))
     b = vectors.select(F.col("entity_id").alias("b"), "category", "idx", F.col("val").alias("y"))
-    dots = a.join(b, ["category", "idx"]).filter("a < b").groupBy("a", "b", "category").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
+    dots = paired(a, b, ["category", "idx"]).groupBy("a", "b", "category").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
     size = norms(vectors)
     na = size.select(F.col("entity_id").alias("a"), "category", F.col("norm").alias("na"))
     nb = size.select(F.col("entity_id").alias("b"), "category", F.col("norm").alias("nb"))
-    every = na.join(nb, "category").filter("a < b").join(dots, ["a", "b", "category"], "left")
+    every = paired(na, nb, ["category"]).join(dots, ["a", "b", "category"], "left")
     return _wide(every.select("a", "b", "category", unit(cosine(F.col("dot"), F.col("na"), F.col("nb"))).alias("sim")), ["a", "b"], weights)
 
 
@@ -146,7 +147,7 @@ def dense_pairs(vecs: DataFrame) -> DataFrame:
     v = vecs.withColumn("n", norm(F.col("vec")))
     a = v.select("category", F.col("entity_id").alias("a"), F.col("vec").alias("x"), F.col("n").alias("nx"))
     b = v.select("category", F.col("entity_id").alias("b"), F.col("vec").alias("y"), F.col("n").alias("ny"))
-    return a.join(b, "category").filter("a < b").select("a", "b", "category", unit(cosine(dot(F.col("x"), F.col("y")), F.col("nx"), F.col("ny"))).alias("sim"))
+    return paired(a, b, ["category"]).select("a", "b", "category", unit(cosine(dot(F.col("x"), F.col("y")), F.col("nx"), F.col("ny"))).alias("sim"))
 
 
 def top_k_per_entity(pairs: DataFrame, k: int, score: str = "sim") -> DataFrame:

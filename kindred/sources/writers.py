@@ -34,6 +34,28 @@ def write_profile(profiled: DataFrame, path: str, bom: bool = True) -> None:
     rows.coalesce(1).write.mode("overwrite").option("header", True).option("sep", ";").csv(path)
 
 
+RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
+
+
+def write_rdf_xml(triples: DataFrame, path: str, prefixes: dict[str, str]) -> None:
+    """Triples as RDF/XML: one ``rdf:Description`` a subject, its properties as child elements.
+
+    ``prefixes`` maps prefixes to namespaces; every predicate must begin with one of these namespaces or that of RDF.  The predicates, a vocabulary, are listed
+    on the driver."""
+    spaces = {"rdf": RDF} | prefixes
+    columns = []
+    for r in triples.select("p").distinct().orderBy("p").collect():
+        prefix, space = max(((k, v) for k, v in spaces.items() if r["p"].startswith(v)), key=lambda x: len(x[1]), default=(None, None))
+        if prefix is None:
+            raise ValueError(f"no prefix for {r['p']}")
+        columns.append((r["p"], f"{prefix}:{r['p'][len(space) :]}"))
+    item = F.struct(F.when(~F.col("o_is_iri"), F.col("o")).alias("_VALUE"), F.when(F.col("o_is_iri"), F.col("o")).alias("_rdf:resource"), F.col("datatype").alias("_rdf:datatype"))
+    held = lambda p: F.collect_list(F.when(F.col("p") == p, item))
+    nodes = triples.groupBy(F.col("s").alias("_rdf:about")).agg(*(F.when(F.size(held(p)) > 0, F.sort_array(held(p))).alias(name) for p, name in columns))
+    root = "rdf:RDF " + " ".join(f'xmlns:{k}="{v}"' for k, v in spaces.items())
+    nodes.write.mode("overwrite").format("xml").option("rowTag", "rdf:Description").option("rootTag", root).option("declaration", "").option("validateName", False).save(path)
+
+
 def _escaped(c):
     for raw, safe in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r")):
         c = F.replace(c, F.lit(raw), F.lit(safe))
