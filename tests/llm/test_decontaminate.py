@@ -86,7 +86,7 @@ def test_long_texts_are_cut_in_overlapping_pieces():
     filler = D.normal(prose(rng, 400))
     for cut in range(0, 300, 23):
         text = filler[:cut] + index.texts[0] + filler
-        assert {r[0] for r in index.regions(D._points(text), piece=97)} == {0}
+        assert {i for items, _ in index.regions(D._points(text), piece=97) for i in items.tolist()} == {0}
 
 
 @pytest.fixture(scope="module")
@@ -127,3 +127,64 @@ def test_odd_input(spark, bench):
 def test_empty_index():
     index = D.ItemIndex.build([])
     assert index.search("some text") == [] and len(index.keys) == 0 and isinstance(index.k, np.ndarray)
+
+
+def test_alignments_of_a_batch_equal_single_ones():
+    rng = random.Random(9)
+    for _ in range(30):
+        size, k, width = rng.randrange(1, 12), rng.randrange(4), rng.randrange(1, 12)
+        text = D._points("".join(rng.choice("abc") for _ in range(rng.randrange(1, 60))))
+        items = np.stack([D._points("".join(rng.choice("abc") for _ in range(size))) for _ in range(20)])
+        bases = np.array([rng.randrange(len(text)) for _ in items])
+        pasts = np.array([rng.randrange(b, len(text) + 1) for b in bases.tolist()])
+        lows = np.array([rng.randrange(-5, 6) for _ in items])
+        got = D.align_many(items, text, bases, pasts, lows, k, width)
+        want = [D.align(x, text[a:b], k, low, low + width - 1) for x, a, b, low in zip(items, bases, pasts, lows, strict=True)]
+        assert got == want
+
+
+def template_items(rng, n):
+    return [(i, "which of the following statements about the " + prose(rng, 2) + f" {i}") for i in range(n)]
+
+
+def test_items_that_share_an_opening_equal_brute_force(monkeypatch):
+    """Hits are counted in many small pieces and added up densely, and nothing changes."""
+    rng = random.Random(10)
+    items = template_items(rng, 25)
+    index = D.ItemIndex.build(items)
+    text = D.normal(" ".join(edited(rng, x, rng.randrange(6)) + " " + prose(rng, 3) for _, x in rng.choices(items, k=30)))
+    whole = index.search(text)
+    want = {i for i, p, k in zip(index.ids, index.texts, index.k, strict=True) if distance(p, text) <= k}
+    assert {f[0] for f in whole} == want and len(want) > 5
+    monkeypatch.setattr(D, "HITS", 300)
+    monkeypatch.setattr(D, "BATCH", 7)
+    cut = index.search(text)
+    assert {f[0] for f in cut} == want and [f[0] for f in cut] == [f[0] for f in whole]
+
+
+def test_many_items_of_one_template_are_bounded():
+    """2,000 items that share an opening against 74 KB that repeat it 1,700 times."""
+    import time
+    import tracemalloc
+
+    rng = random.Random(11)
+    items = template_items(rng, 2000)
+    index = D.ItemIndex.build(items)
+    planted = rng.choice(index.texts)
+    text = " ".join(f"which of the following statements about {rng.choice('abcdef')}{i}" for i in range(1700)) + " " + planted
+    assert len(text) > 70_000
+    tracemalloc.start()
+    began = time.time()
+    found = index.search(text)
+    assert tracemalloc.get_traced_memory()[1] < 500e6
+    tracemalloc.stop()
+    assert time.time() - began < 120  # some seconds, more where memory is traced on a slow machine
+    assert index.ids[index.texts.index(planted)] in {f[0] for f in found}
+
+
+def test_short_items_are_whole_words(spark):
+    rows = spark.createDataFrame([("x", "Ab c"), ("y", "q-z"), ("long", "a longer passage of a benchmark")], "item_id string, text string")
+    docs = spark.createDataFrame([("d1", "say ab, C now"), ("d2", "grab c"), ("d3", "q z; A longer passage of a benchmark!"), (None, None)], "doc_id string, text string")
+    got = sorted((r["doc_id"], r["item_id"], r["start"], r["end"]) for r in D.find_passages(docs, rows).collect())
+    assert got == [("d1", "x", 4, 8), ("d3", "long", 4, 35), ("d3", "y", 0, 3)]
+    assert {r["doc_id"] for r in D.drop_contaminated(docs, rows).collect()} == {"d2", None}
