@@ -1,8 +1,8 @@
 """Document quality by a linear-chain conditional random field over lines.
 
-Every line is good or bad.  A line's features describe its characters and words and those of the
-lines on either side; the chain adds a weight for each pair of neighbouring labels.  The field is fitted to labelled documents, whose lines
-all carry the document's label, by gradient ascent on the conditional likelihood.  Scoring runs forward and backward over all lines
+Every line is good or bad.  A line's features are its characters' kinds, its words (hashed) and those of the
+lines on either side; the chain adds a weight for each pair of neighbouring labels.  Line labels are hidden: the field is fitted to labelled documents, whose
+label depends on the length-weighted share of good lines, by gradient ascent on the likelihood.  Scoring runs forward and backward over all lines
 of a text and averages the marginal of "good", weighted by line length; a logistic curve fitted on
 the same training rows maps the average to a probability.
 """
@@ -13,6 +13,7 @@ import math
 import re
 from collections import Counter
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -23,6 +24,7 @@ from .shared import table, unused
 
 MARKS = b"!\"#$%&()*+/<=>@[\\]^_`{|}~"
 LETTERS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+WORD_MASK = (1 << 14) - 1
 TAGS = re.compile(rb"(\S)\1\1")
 OWN = ("marks", "shout", "capitals", "repeats", "again", "lone", "digits", "runs", "long", "short", "sentence", "length")
 
@@ -54,16 +56,48 @@ def line_features(line: bytes) -> list[float]:
     ]
 
 
-def text_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Features of every line with its neighbours' (lines x features, the last constant) and line lengths.  A text
-    without lines that hold anything has one empty line."""
-    lines = [x for x in (text or "").encode("utf-8", "replace").split(b"\n") if x.strip()] or [b""]
+def _words(line: bytes) -> list[int]:
+    """Hash cells of a line's words (lower case, A-Z only)."""
+    return [crc32(w) & WORD_MASK for w in line.lower().split()]
+
+
+@dataclass
+class Lines:
+    """Lines of a text: surface features with the neighbours' (the last constant), the words of every line, and lengths."""
+
+    surface: np.ndarray
+    words: np.ndarray  # hash cells, line by line
+    of_line: np.ndarray  # line of each word
+    share: np.ndarray  # weight of each word: one by the root of the words of its line
+    lengths: np.ndarray
+
+
+def text_lines(text: str | None) -> Lines:
+    """All lines of a text, blank ones too; a null or empty text has one empty line."""
+    lines = (text or "").encode("utf-8", "replace").split(b"\n")
     own = np.array([line_features(x) for x in lines])
     before, after = np.vstack([own[:1] * 0, own[:-1]]), np.vstack([own[1:], own[:1] * 0])
     edge = np.zeros((len(own), 2))
     edge[0, 0] = edge[-1, 1] = 1
-    squares = own[:, :7] ** 2
-    return np.hstack([own, squares, before, after, edge, np.ones((len(own), 1))]), np.array([len(x) + 1.0 for x in lines])
+    surface = np.hstack([own, own[:, :7] ** 2, before, after, edge, np.ones((len(own), 1))])
+    cells = [_words(x) for x in lines]
+    sizes = np.array([len(c) for c in cells])
+    words = np.fromiter((c for line in cells for c in line), np.int64, int(sizes.sum()))
+    share = np.repeat(1 / np.sqrt(np.maximum(sizes, 1)), sizes)
+    return Lines(surface, words, np.repeat(np.arange(len(lines)), sizes), share, np.array([len(x) + 1.0 for x in lines]))
+
+
+def line_scores(x: Lines, weights: np.ndarray, own: np.ndarray, near: np.ndarray, firsts: np.ndarray | None = None) -> np.ndarray:
+    """Log odds of good by features alone: the line's surface and words, and its neighbours' words.  ``firsts`` marks lines that begin a text."""
+    n = len(x.lengths)
+    beside = np.bincount(x.of_line, near[x.words] * x.share, n)
+    out = x.surface @ weights + np.bincount(x.of_line, own[x.words] * x.share, n)
+    later = np.append(0.0, beside[:-1])
+    earlier = np.append(beside[1:], 0.0)
+    if firsts is not None:
+        later[firsts] = 0
+        earlier[np.append(firsts[1:], n) - 1] = 0
+    return out + later + earlier
 
 
 def _messages(score: np.ndarray, pair: np.ndarray) -> np.ndarray:
@@ -90,83 +124,128 @@ def marginals(score: np.ndarray, pair: np.ndarray) -> np.ndarray:
     return _sigmoid(_messages(score, pair) + score + _messages(score[::-1], pair.T)[::-1])
 
 
-def expected_pairs(score: np.ndarray, pair: np.ndarray) -> np.ndarray:
-    """Expected number of each pair of neighbouring labels, given all lines."""
-    left = (_messages(score, pair) + score)[:-1]
-    right = (_messages(score[::-1], pair.T)[::-1] + score)[1:]
-    log = np.stack([np.full(len(left), pair[0, 0]), pair[0, 1] + right, pair[1, 0] + left, pair[1, 1] + left + right])
-    p = np.exp(log - log.max(axis=0, initial=-np.inf))
-    return (p / p.sum(axis=0)).sum(axis=1).reshape(2, 2)
-
-
 def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
 
 
+class Chains:
+    """Forward-backward over many texts at once: texts in falling order of length, so that those with a t-th line come first."""
+
+    def __init__(self, sizes: np.ndarray):
+        self.order = np.argsort(-sizes, kind="stable")
+        starts = (np.cumsum(sizes) - sizes)[self.order]
+        self.sizes = sizes[self.order]
+        active = [int(np.searchsorted(-self.sizes, -t, side="left")) for t in range(int(self.sizes[0]))]
+        self.steps = [starts[:n] + t for t, n in enumerate(active)]  # places of the t-th lines
+        self.ends = starts + self.sizes - 1
+
+    def passed(self, score: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log odds passed into each line from before, and the log of each text's sum over all labellings."""
+        into, mass = np.zeros(len(score)), np.zeros(len(self.sizes))
+        odds = np.zeros(len(self.sizes))
+        for t, at in enumerate(self.steps):
+            n = len(at)
+            if t:
+                x = odds[:n]
+                low = np.logaddexp(pair[0, 0], pair[1, 0] + x)
+                into[at] = np.logaddexp(pair[0, 1], pair[1, 1] + x) - low
+                mass[:n] += low
+            odds[:n] = into[at] + score[at]
+        total = np.empty(len(self.sizes))
+        total[self.order] = mass + np.logaddexp(0, odds)
+        return into, total
+
+    def all(self, score: np.ndarray, pair: np.ndarray, turned: Chains) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Marginal of good for each line, expected pairs for each border between lines of a text (by its later line), and the logs of the texts' sums."""
+        into, total = self.passed(score, pair)
+        back = turned.passed(score[::-1], pair.T)[0][::-1]
+        left, right = (into + score)[:-1], (back + score)[1:]
+        log = np.stack([np.full(len(left), pair[0, 0]), pair[0, 1] + right, pair[1, 0] + left, pair[1, 1] + left + right], axis=1)
+        p = np.exp(log - log.max(axis=1, keepdims=True, initial=-np.inf))
+        return _sigmoid(into + score + back), p / p.sum(axis=1, keepdims=True), total
+
+
 @dataclass(frozen=True)
 class LineField:
     weights: np.ndarray
+    own: np.ndarray
+    near: np.ndarray
     pair: np.ndarray
     slope: float
     shift: float
 
+    def lines(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Probability of good for each line, and the lines' lengths."""
+        x = text_lines(text)
+        return marginals(line_scores(x, self.weights, self.own, self.near), self.pair), x.lengths
+
     def document(self, text: str | None) -> float:
         """Probability that the document is good."""
-        x, lengths = text_features(text)
-        return float(_sigmoid(self.slope * self._odds(marginals(x @ self.weights, self.pair), lengths) + self.shift))
+        return float(_sigmoid(self.slope * _odds(*self.lines(text)) + self.shift))
 
-    @staticmethod
-    def _odds(p: np.ndarray, lengths: np.ndarray) -> float:
-        mean = float((p * lengths).sum() / lengths.sum())
-        return math.log((mean + 1e-3) / (1 - mean + 1e-3))
 
+def _odds(p: np.ndarray, lengths: np.ndarray) -> float:
+    mean = float((p * lengths).sum() / lengths.sum())
+    return math.log((mean + 1e-3) / (1 - mean + 1e-3))
 
-def fit(texts: list[str | None], labels: list[int], steps: int = 80, ridge: float = 1e-3, tie: float = 2.0) -> LineField:
-    """Field fitted by Adam on the log likelihood of the line labels, a document's divided by its lines.
 
-    All lines of a training document share its label, which alone would make the chain infinitely stiff; the pair weights are
-    therefore held within ``tie``.  With labels of one kind only, or none, every document gets that
-    kind's smoothed share as its score.
-    """
+def fit(texts: list[str | None], labels: list[int], steps: int = 80, ridge: float = 2e-3, word_ridge: float = 1e-2, evidence: float = 4.0, chain: bool = True) -> LineField:
+    """Field fitted by Adam on the likelihood of the document labels; line labels are hidden.
+
+    A document is good with log odds ``evidence * (2 g - 1)``, g the length-weighted share of its good lines.  Summed over all labellings of the lines,
+    each weighted by the field, that gives the likelihood; its gradient is the difference of the expected counts given a good
+    and given a bad document, times the label's residual.  So a line of a bad document may well be good, and pair weights are learned from how labels
+    run through documents (``chain`` false leaves them at 0).  With labels of one kind only, or none, every document gets that kind's smoothed share as its score."""
     good = sum(labels)
     prior = math.log((good + 1) / (len(labels) - good + 1))
-    feats = [text_features(t) for t in texts]
-    width = text_features("")[0].shape[1]
-    w, pair = np.zeros(width), np.zeros((2, 2))
+    parts = [text_lines(t) for t in texts]
+    width = text_lines("").surface.shape[1]
+    w, own, near, pair = np.zeros(width), np.zeros(WORD_MASK + 1), np.zeros(WORD_MASK + 1), np.zeros((2, 2))
     if good in (0, len(labels)):
-        return LineField(w, pair, 0.0, prior)
-    x = np.vstack([f for f, _ in feats])
-    sizes = np.array([len(n) for _, n in feats])
-    ends = np.cumsum(sizes)
-    starts = ends - sizes
-    y = np.repeat(np.array(labels, float), sizes)
-    mass = np.repeat(1 / (sizes * len(texts)), sizes)
-    moment, square = np.zeros(width + 4), np.zeros(width + 4)
+        return LineField(w, own, near, pair, 0.0, prior)
+    sizes = np.array([len(x.lengths) for x in parts])
+    starts = np.cumsum(sizes) - sizes
+    every = Lines(*(np.concatenate([getattr(x, f) + (at if f == "of_line" else 0) for x, at in zip(parts, starts.tolist(), strict=True)]) for f in ("surface", "words", "of_line", "share", "lengths")))
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    pull = evidence * every.lengths / np.bincount(doc, every.lengths)[doc]
+    chains, turned = Chains(sizes), Chains(sizes[::-1])
+    border = np.flatnonzero(doc[1:] == doc[:-1])
+    y = np.array(labels, float)
+    balance = np.where(y > 0, 0.5 / good, 0.5 / (len(y) - good))  # both kinds weigh the same
+    params = [w, own, near, pair]
+    moments, squares = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for step in range(1, steps + 1):
-        score = x @ w
-        p = np.empty(len(x))
-        pairs = np.zeros((2, 2))
-        for a, b, label in zip(starts, ends, labels, strict=True):
-            p[a:b] = marginals(score[a:b], pair)
-            if b - a > 1:
-                pairs[label, label] += (b - a - 1) / (b - a) / len(texts)
-                pairs -= expected_pairs(score[a:b], pair) / (b - a) / len(texts)
-        gradient = np.concatenate([x.T @ ((y - p) * mass) - ridge * w, pairs.ravel() - ridge * pair.ravel()])
-        moment = 0.9 * moment + 0.1 * gradient
-        square = 0.99 * square + 0.01 * gradient**2
-        move = 0.1 * (moment / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-9)
-        w = w + move[:width]
-        pair = np.clip(pair + move[width:].reshape(2, 2), -tie, tie)
-    field = LineField(w, pair, 1.0, 0.0)
-    z = np.array([field._odds(marginals(f @ w, pair), n) for f, n in feats])
-    slope, shift, t = 1.0, 0.0, np.array(labels, float)
+        w, own, near, pair = params
+        score = line_scores(every, w, own, near, starts)
+        p1, pairs1, z1 = chains.all(score + pull, pair, turned)
+        p0, pairs0, z0 = chains.all(score - pull, pair, turned)
+        residual = (y - _sigmoid(z1 - z0 - evidence)) * balance
+        d = residual[doc] * (p1 - p0)
+        word = d[every.of_line] * every.share
+        sides = np.append(d[1:] * (doc[1:] == doc[:-1]), 0.0) + np.append(0.0, d[:-1] * (doc[1:] == doc[:-1]))
+        gradient = [
+            every.surface.T @ d - ridge * w,
+            np.bincount(every.words, word, len(own)) - word_ridge * own,
+            np.bincount(every.words, sides[every.of_line] * every.share, len(near)) - word_ridge * near,
+            (residual[doc[border + 1], None] * (pairs1 - pairs0)[border]).sum(axis=0).reshape(2, 2) - ridge * pair if chain else 0 * pair,
+        ]
+        for i, g in enumerate(gradient):
+            moments[i] = 0.9 * moments[i] + 0.1 * g
+            squares[i] = 0.99 * squares[i] + 0.01 * g * g
+            params[i] = params[i] + 0.1 * (moments[i] / (1 - 0.9**step)) / (np.sqrt(squares[i] / (1 - 0.99**step)) + 1e-6)
+    w, own, near, pair = params
+    score = line_scores(every, w, own, near, starts)
+    p = chains.all(score, pair, turned)[0]
+    mean = np.bincount(doc, p * every.lengths) / np.bincount(doc, every.lengths)
+    z = np.log((mean + 1e-3) / (1 - mean + 1e-3))
+    slope, shift = 1.0, 0.0
     for _ in range(50):  # Newton's method for the logistic curve, with a weak pull towards the identity
         p = _sigmoid(slope * z + shift)
-        d, s = p - t, p * (1 - p)
+        d, s = p - y, p * (1 - p)
         g = np.array([d @ z + 0.1 * (slope - 1), d.sum() + 0.1 * shift])
         h = np.array([[s @ (z * z) + 0.1, s @ z], [s @ z, s.sum() + 0.1]])
         slope, shift = np.array([slope, shift]) - np.linalg.solve(h, g)
-    return LineField(w, pair, float(max(slope, 0.0)), float(shift))
+    return LineField(w, own, near, pair, float(max(slope, 0.0)), float(shift))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -183,7 +262,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).dropna()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(~held_out(F.col("id")) & (F.coalesce(F.octet_length("text"), F.lit(0)) <= max_bytes))
     picked = rows.select("id").join(marked, "id").distinct().orderBy(F.xxhash64("id"), "id", "label").limit(max_docs)
-    sample = rows.join(F.broadcast(picked), "id").limit(2 * max_docs).toPandas().sort_values(["id", "label"])
+    # One text a labelled id, also where rows repeat: the least of them.
+    sample = rows.join(F.broadcast(picked), "id").groupBy("id", "label").agg(F.min("text").alias("text")).toPandas().sort_values(["id", "label"])
     return fit([t if isinstance(t, str) else None for t in sample["text"]], (sample["label"] > 0).astype(int).tolist())
 
 
@@ -199,7 +279,7 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     """``(doc_id, held_out, score, predicted)`` for every row.
 
     Null and empty texts are scored as one empty line; a null id is never held out.  Repeated rows come back as often as they
-    occur.  With no usable labels every score is one half.  An empty table gives no rows.  Other columns are ignored.
+    occur; equal texts have equal scores, so ties stay ties.  A very long text is scored whole.  With no usable labels every score is one half.  An empty table gives no rows.  Other columns are ignored.
     """
     field = train(docs, labels, id_col, text_col)
     out = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), score(F.col(text_col), field).alias("score"))
@@ -207,7 +287,7 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """Rows of ``docs`` whose score reaches ``threshold``, with all their columns as they were.  Nulls, repeated rows and empty tables
+    """Rows of ``docs`` whose score reaches ``threshold``, with all their columns as they were.  Nulls, repeated rows, ties, very long texts and empty tables
     are as in ``quality``."""
     mark = unused(docs, "score")
     field = train(docs, labels, id_col, text_col)

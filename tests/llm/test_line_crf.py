@@ -23,7 +23,12 @@ def test_marginals_against_enumeration():
             for a, b in itertools.pairwise(y):
                 pairs[a, b] += w
         assert L.marginals(score, pair) == pytest.approx(good / total)
-        assert L.expected_pairs(score, pair) == pytest.approx(pairs / total)
+        # The same for several texts at once: this one, one of a single line, and this one again.
+        sizes = np.array([n, 1, n])
+        p, each, mass = L.Chains(sizes).all(np.concatenate([score, [0.5], score]), pair, L.Chains(sizes[::-1]))
+        assert p[:n] == pytest.approx(good / total) and p[n + 1 :] == pytest.approx(good / total) and p[n] == pytest.approx(1 / (1 + np.exp(-0.5)))
+        assert each[: n - 1].sum(axis=0).reshape(2, 2) == pytest.approx(pairs / total)
+        assert mass == pytest.approx([np.log(total), np.log(1 + np.exp(0.5)), np.log(total)])
 
 
 def test_extreme_scores_do_not_overflow():
@@ -97,3 +102,61 @@ def test_given_labels(spark):
     labels = spark.read.parquet(f"{d}/labels.parquet")
     rows = L.quality(spark.read.parquet(f"{d}/documents.parquet"), labels).filter("held_out").join(labels, "doc_id").collect()
     assert np.mean([r["predicted"] == r["quality"] for r in rows]) > 0.95
+
+
+def test_document_scores_by_enumeration(corpus):
+    """Whole scores of short texts: all labellings summed up, no forward or backward pass."""
+    docs, labels = corpus
+    field = L.train(docs, labels)
+    for text in [r["text"] for r in docs.limit(60).collect()] + [None, "", "\n", "a\n\nB!! B!!"]:
+        x = L.text_lines(text)
+        score = x.surface @ field.weights
+        words = [w for line in (text or "").encode().split(b"\n") for w in [line.lower().split()]]
+        own = [sum(field.own[zlib.crc32(w) & L.WORD_MASK] for w in ws) / max(1, len(ws)) ** 0.5 for ws in words]
+        near = [sum(field.near[zlib.crc32(w) & L.WORD_MASK] for w in ws) / max(1, len(ws)) ** 0.5 for ws in words]
+        score = [a + b + (near[i - 1] if i else 0) + (near[i + 1] if i + 1 < len(near) else 0) for i, (a, b) in enumerate(zip(score, own, strict=True))]
+        total, good = 0.0, np.zeros(len(score))
+        for y in itertools.product((0, 1), repeat=len(score)):
+            w = np.exp(np.dot(score, y) + sum(field.pair[a, b] for a, b in itertools.pairwise(y)))
+            total, good = total + w, good + w * np.array(y)
+        mean = (good / total @ x.lengths) / x.lengths.sum()
+        odds = np.log((mean + 1e-3) / (1 - mean + 1e-3))
+        assert field.document(text) == pytest.approx(1 / (1 + np.exp(-field.slope * odds - field.shift)))
+
+
+def mixed(rng):
+    """A text of runs of good and bad lines; most lines are neutral, the first of a run tells.  With the truth of every line."""
+    lines, truth = [], []
+    for _ in range(rng.randrange(1, 4)):
+        good = rng.random() < 0.5
+        run = rng.randrange(3, 9)
+        lines += [("fine " if good else "spam ") + prose(rng, 2)] + ["neutral words here" for _ in range(run - 1)]
+        truth += [int(good)] * run
+    return "\n".join(lines), truth
+
+
+def test_the_chain_labels_lines_of_mixed_documents():
+    """Line labels are never given.  Three lines and more from a telling line, only the chain can know."""
+    rng = random.Random(12)
+    made = [mixed(rng) for _ in range(700)]
+    label = lambda text, truth: int(np.dot([len(x) + 1 for x in text.split("\n")], truth) >= 0.5 * (len(text) + 1))
+    texts, labels = [t for t, _ in made], [label(*x) for x in made]
+    with_chain, without = (L.fit(texts[:500], labels[:500], chain=c) for c in (True, False))
+    assert np.all(without.pair == 0) and with_chain.pair[0, 0] + with_chain.pair[1, 1] > with_chain.pair[0, 1] + with_chain.pair[1, 0] + 1
+
+    def right(field):
+        return np.mean([(p > 0.5) == bool(y) for text, truth in made[500:] for p, y in zip(field.lines(text)[0], truth, strict=True)])
+
+    def documents_right(field):
+        return np.mean([(field.document(t) > 0.5) == bool(y) for t, y in zip(texts[500:], labels[500:], strict=True)])
+
+    lines, documents_ = (right(with_chain), right(without)), (documents_right(with_chain), documents_right(without))
+    assert lines[0] > 0.8 and lines[0] > lines[1] + 0.1, lines
+    assert documents_[0] > documents_[1], documents_
+
+
+def test_repeated_rows_do_not_change_the_fit(spark, corpus):
+    docs, labels = corpus
+    some = docs.limit(60)
+    a, b = (L.train(d, labels) for d in (some, some.unionAll(some).unionAll(some).repartition(5)))
+    assert np.array_equal(a.weights, b.weights) and np.array_equal(a.pair, b.pair)
