@@ -42,7 +42,7 @@ def test_leaves_hold_every_row_once():
     assert sorted(np.concatenate(leaves).tolist()) == list(range(1000)) and max(map(len, leaves)) <= 16
 
 
-@pytest.mark.parametrize("options", [{}, {"block_rows": 300, "query_block": 7}])
+@pytest.mark.parametrize("options", [{}, {"block_rows": 100}, {"block_rows": 100, "sample_rows": 60, "max_cells": 4}])
 def test_recall(spark, options):
     rng = np.random.default_rng(1)
     centres = rng.normal(0, 1, (10, 32))
@@ -68,12 +68,58 @@ def test_work_is_saved():
     real = np.einsum
     try:
         np.einsum = lambda *a, **k: (seen.append(len(a[1])), real(*a, **k))[1]
-        list(block.search(np.array([0]), v[:1], v[:1] @ A.directions(16, 8, 7), 10, A.chi_square_quantile(0.99, 8)))
+        list(block.search(v[:1], v[:1] @ A.directions(16, 8, 7), np.array([np.inf]), 10, A.chi_square_quantile(0.99, 8)))
     finally:
         np.einsum = real
     assert sum(seen[1:]) < 2000
 
 
+def test_cells_hold_every_point():
+    points = np.random.default_rng(3).normal(size=(5000, 4))
+    cells = A.Cells(points[:500], 16)
+    at = cells.place(points)
+    assert cells.n == 16 and set(at.tolist()) == set(range(16)) and np.bincount(at).max() < 1000
+    assert A.Cells(np.zeros((50, 4)), 16).n == 1 and A.Cells(points[:0], 4).place(points).max() == 0
+
+
+def test_queries_go_to_few_cells(spark):
+    """100,000 vectors in 64 cells: recall against brute force, and the share of all blocks that queries are sent to."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(0, 1, (200, 24))
+    v = (centres[rng.integers(0, 200, 100_000)] + rng.normal(0, 0.15, (100_000, 24))).astype(np.float32)
+    import pandas as pd
+
+    path = f"{spark.conf.get('spark.checkpoint.dir').removeprefix('file://')}/hundred-thousand.parquet"
+    pd.DataFrame({"vec_id": np.arange(len(v)), "embedding": list(v)}).to_parquet(path)
+    df = spark.read.parquet(f"file://{path}")
+    got = found(A.nearest(df, df.filter("vec_id % 500 = 0"), block_rows=1600))
+    want = brute(list(range(len(v))), v, range(0, len(v), 500), 10)
+    assert got.keys() == want.keys()
+    assert np.mean([len({i for _, i in got[q]} & {i for _, i in want[q]}) / 10 for q in want]) >= 0.9
+    # The cells that a query's bound leaves, by the same test on the true tenth distance.
+    projected = v.astype(float) @ A.directions(24, 8, 7)
+    cells = A.Cells(projected[::2], 63)
+    at = cells.place(projected)
+    low = np.stack([projected[at == c].min(axis=0) for c in range(cells.n)])
+    high = np.stack([projected[at == c].max(axis=0) for c in range(cells.n)])
+    limit = A.chi_square_quantile(0.99, 8)
+    visits = []
+    for q in want:
+        gap = np.maximum(0, np.maximum(low - projected[q], projected[q] - high))
+        visits.append(((gap * gap).sum(axis=1) <= want[q][-1][0] ** 2 * limit).mean())
+    assert np.mean(visits) < 0.5
+
+
+def test_a_third_of_all_rows_is_one_vector(spark):
+    rng = np.random.default_rng(6)
+    vectors = [[1.0, 2.0, 3.0]] * 400 + rng.normal(0, 1, (800, 3)).tolist()
+    ids = list(range(len(vectors)))
+    df = table(spark, ids, vectors).repartition(5)
+    queries = [0, 3, 399, 500]
+    got = found(A.nearest(df, df.filter(f"vec_id in ({', '.join(map(str, queries))})"), block_rows=100))
+    assert got == {q: [(pytest.approx(d), i) for d, i in near] for q, near in brute(ids, vectors, queries, 10).items()}
+
+
 def test_ties_and_copies(spark):
     vectors = [[0, 1], [0, 2], *[[0, 1]] * 30, [3, 3]]
     ids = list(range(len(vectors)))
@@ -87,7 +133,7 @@ def test_odd_input(spark):
     rows = [[1, 1], None, [], [0, 0], [nan, 1], [inf, 1], [None, 1], [2, 1], [1, 2, 3]]
     df = table(spark, [*range(len(rows))], rows).unionAll(table(spark, [None, 7], [[1, 1], [2, 1]])).selectExpr("*", "'x' AS id", "'y' AS v")
     got = found(A.nearest(df, df))
-    # The vector of another length meets nobody; the repeated row is a candidate twice and a query twice.
+    # The vector of another length meets nobody; the repeated row is a candidate twice and one query.
     assert got[0] == [(1.0, 7), (1.0, 7)]
     assert set(got) == {0, 7} and {i for _, i in got[7]} == {0}
     assert A.nearest(df, df.limit(0)).count() == 0
