@@ -24,7 +24,7 @@ from .shared import Scratch, table, unused
 
 BITS = 64
 HEAVY = 1000  # a fingerprint is heavy if it holds this part of all rows
-CELLS = 128  # cells over which a set's shingles are counted
+CELLS = 64  # cells over which a set's shingles are counted
 
 
 def shingle_hashes(text: str | None, width: int, seed: int = 42) -> np.ndarray:
@@ -185,17 +185,17 @@ def _label(rows: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
 # the covering tables alone would miss such pairs; a prefix filter over the shingles, which misses none, finds them.
 
 
-def prefix(shingles: np.ndarray, similarity: float, common: np.ndarray) -> np.ndarray:
+def prefix(shingles: np.ndarray, similarity: float, common: np.ndarray, by_value: np.ndarray | None = None) -> np.ndarray:
     """The first n - ceil(similarity * n) + 1 of a text's n distinct shingles, those in ``common`` last and in its order.
 
     Any two sets at least as similar share a shingle of their prefixes, whatever the order is as long as it is the same for all:
-    ``common`` (shingles by rising frequency) only keeps passages that many texts hold out of the prefixes."""
+    ``common`` (shingles by rising frequency, ``by_value`` its sorting order) only keeps passages that many texts hold out of the prefixes."""
     n = len(shingles)
     if not n:
         return shingles
     rank = np.zeros(n, np.int64)
     if len(common):
-        by_value = np.argsort(common)
+        by_value = np.argsort(common) if by_value is None else by_value
         at = np.minimum(np.searchsorted(common, shingles, sorter=by_value), len(common) - 1)
         rank = np.where(common[by_value[at]] == shingles, by_value[at] + 1, 0)
     return shingles[np.lexsort((shingles, rank))][: n - math.ceil(similarity * n - 1e-9) + 1]
@@ -228,39 +228,37 @@ def similar(a: np.ndarray, b: np.ndarray, size: int) -> float:
 
 
 def cell_counts(shingles: np.ndarray) -> bytes:
-    """Number of a set's shingles in each of ``CELLS`` cells of the hash space, none for a very large set.  Two sets cannot share more in a cell than the
+    """Number of a set's shingles in each of ``CELLS`` cells of the hash space, none where a cell has over 255.  Two sets cannot share more in a cell than the
     lesser count: an exact bound on what they share at all."""
-    return np.bincount((shingles >> np.uint64(57)).astype(np.int64), minlength=CELLS).astype("<u2").tobytes() if len(shingles) < 1 << 16 else b""
+    counts = np.bincount((shingles >> np.uint64(58)).astype(np.int64), minlength=CELLS)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
 
 
 def _unlinked(similarity: float, most: int):
     """Pairs ``(u, v)`` of each group's members ``tid`` whose ``root`` differs and that may be similar, one member at a time: for each the ``most`` with the
-    highest bound on what they share, and one row without a pair for those left out (``cut``).  A pair
-    is given by the group of the first key that its prefixes share, and by no other: ``before`` are the keys that a member has before the group's."""
+    highest bound on what they share, and one row without a pair for those left out (``cut``)."""
     need = similarity / (1 + similarity)
 
     def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for tid, root, n, at, cells, before in zip(batch["tid"], batch["root"], batch["n"], batch["at"], batch["cells"], batch["before"], strict=True):
+            for tid, root, n, at, cells in zip(batch["tid"], batch["root"], batch["n"], batch["at"], batch["cells"], strict=True):
                 order = np.argsort(np.asarray(tid, np.int64))
                 tid, root, n, at = (np.asarray(c, np.int64)[order] for c in (tid, root, n, at))
-                counts = np.stack([np.frombuffer(cells[i], "<u2") if cells[i] else np.full(CELLS, 1 << 15, "<u2") for i in order]).astype(np.int32)
-                before = [frozenset(before[i].tolist()) for i in order]
-                cut = 0
+                counts = np.stack([np.frombuffer(cells[i], np.uint8).astype(np.int32) if cells[i] else np.full(CELLS, 1 << 24, np.int32) for i in order])
+                us, vs, cut = [], [], 0
                 for i in range(len(tid) - 1):
                     other = i + 1 + np.flatnonzero((root[i + 1 :] != root[i]) & may_be_similar(n[i + 1 :], at[i + 1 :], n[i], at[i], similarity))
                     if len(other):
                         bound = np.minimum(counts[other], counts[i]).sum(axis=1) / (n[other] + n[i])
                         fine = bound >= need - 1e-9
                         other = other[fine][np.argsort(-bound[fine], kind="stable")]
-                        mine = before[i]
-                        other = np.array([j for j in other.tolist() if mine.isdisjoint(before[j])], np.int64)
-                    if len(other):
                         cut += max(0, len(other) - most)
-                        other = other[:most]
-                        yield pd.DataFrame({"u": np.full(len(other), tid[i]), "v": tid[other], "cut": np.zeros(len(other), np.int64)})
-                if cut:
-                    yield pd.DataFrame({"u": [0], "v": [0], "cut": [cut]})
+                        us.append(np.full(min(most, len(other)), tid[i]))
+                        vs.append(tid[other[:most]])
+                if us:
+                    last = np.zeros(int(cut > 0), np.int64)  # the row for those left out pairs nothing
+                    u, v = np.concatenate([*us, last]), np.concatenate([*vs, last])
+                    yield pd.DataFrame({"u": u, "v": v, "cut": np.append(np.zeros(len(u) - len(last), np.int64), last + cut)})
 
     return pairs
 
@@ -303,11 +301,11 @@ def near_copies(rows: DataFrame, scratch: Scratch, width: int, similarity: float
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
+            out, by_value = [], np.argsort(common)
             for doc_id, mark, text in zip(batch["doc_id"], batch["mark"], batch["text"], strict=True):
                 hashes = shingle_hashes(text, width)
                 single = np.unique(hashes)
-                out.append((doc_id, mark, _text_id(hashes), _signs(hashes), len(single), prefix(single, similarity, common).view(np.int64), cell_counts(single)))
+                out.append((doc_id, mark, _text_id(hashes), _signs(hashes), len(single), prefix(single, similarity, common, by_value).view(np.int64), cell_counts(single)))
                 if len(out) == 1000:  # a row is up to some kilobytes
                     yield frame(out)
                     out = []
@@ -368,16 +366,16 @@ def near_copies(rows: DataFrame, scratch: Scratch, width: int, similarity: float
     # groups that are alike grow together before their pairs are many, then more, until no pair is left out.
     roots, tried, most = scratch.table(components(links, scratch).withColumnRenamed("node", "tid")), pairs, 4
     split = shared.join(roots, "tid", "left").groupBy("key").agg(F.countDistinct(F.coalesce("root", "tid")).alias("n"), F.count("*").alias("size")).filter("n > 1 AND size > 2")
-    held = shared.select("key", "tid", "n", "at").join(split.select("key"), "key").join(texts.select("tid", "cells", "keys"), "tid")
-    held = scratch.table(held.select("key", "tid", "n", "at", "cells", F.slice("keys", F.lit(1), F.col("at")).alias("before")))
-    member = F.struct("tid", "root", "n", "at", "cells", "before")
+    held = shared.select("key", "tid", "n", "at").join(split.select("key"), "key").join(texts.select("tid", "cells"), "tid")
+    held = scratch.table(held.select("key", "tid", "n", "at", "cells"))
+    member = F.struct("tid", "root", "n", "at", "cells")
     while True:
         now = held.join(roots, "tid", "left").withColumn("root", F.coalesce("root", "tid"))
         groups = now.groupBy("key").agg(F.collect_list(member).alias("all"), F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b")
-        groups = groups.select(*(F.col(f"all.{c}").alias(c) for c in ("tid", "root", "n", "at", "cells", "before")))
+        groups = groups.select(*(F.col(f"all.{c}").alias(c) for c in ("tid", "root", "n", "at", "cells")))
         found = scratch.table(groups.mapInPandas(_unlinked(similarity, most), "u long, v long, cut long"))
         cut = found.agg(F.sum("cut")).first()[0]
-        rest = scratch.table(found.filter("cut = 0").select("u", "v").join(tried, ["u", "v"], "left_anti"))
+        rest = scratch.table(found.filter("u <> v").select("u", "v").distinct().join(tried, ["u", "v"], "left_anti"))
         links = scratch.table(links.unionAll(verified(rest)))
         scratch.remove(found)
         roots = scratch.table(components(links, scratch).withColumnRenamed("node", "tid"))
