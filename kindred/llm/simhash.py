@@ -381,7 +381,7 @@ def near_copies(rows: DataFrame, scratch: Scratch, width: int, similarity: float
         roots = scratch.table(components(links, scratch).withColumnRenamed("node", "tid"))
         if not cut:
             break
-        tried, most = tried.unionAll(rest), 4 * most
+        tried, most = tried.unionAll(rest), 16 * most
     named = scratch.table(rows.select("doc_id", "mark", "tid"))
     scratch.remove(rows, texts, shared, held, pairs, rest, links)
     return named, roots
