@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
@@ -25,6 +25,7 @@ from .shared import Scratch, table, unused
 BITS = 64
 HEAVY = 1000  # a fingerprint is heavy if it holds this part of all rows
 CELLS = 64  # cells over which a set's shingles are counted
+BEFORE = ["before1", "before2", "before3"]  # a text's keys just before a key, 0 where there is none
 
 
 def shingle_hashes(text: str | None, width: int, seed: int = 42) -> np.ndarray:
@@ -234,20 +235,31 @@ def cell_counts(shingles: np.ndarray) -> bytes:
     return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
 
 
+def _counts(cells) -> np.ndarray:
+    """Cell counts as rows of numbers, without a bound where there are none."""
+    return np.stack([np.frombuffer(c, np.uint8).astype(np.int32) if c else np.full(CELLS, 1 << 24, np.int32) for c in cells])
+
+
 def _unlinked(similarity: float, most: int):
     """Pairs ``(u, v)`` of each group's members ``tid`` whose ``root`` differs and that may be similar, one member at a time: for each the ``most`` with the
-    highest bound on what they share, and one row without a pair for those left out (``cut``)."""
+    highest bound on what they share, and one row without a pair for those left out (``cut``).  Two members with an equal key in ``before`` are a pair of
+    that earlier key, not of this one."""
     need = similarity / (1 + similarity)
+    names = ["tid", "root", "n", "at", *BEFORE]
 
     def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for tid, root, n, at, cells in zip(batch["tid"], batch["root"], batch["n"], batch["at"], batch["cells"], strict=True):
-                order = np.argsort(np.asarray(tid, np.int64))
-                tid, root, n, at = (np.asarray(c, np.int64)[order] for c in (tid, root, n, at))
-                counts = np.stack([np.frombuffer(cells[i], np.uint8).astype(np.int32) if cells[i] else np.full(CELLS, 1 << 24, np.int32) for i in order])
+            for cells, *numbers in zip(batch["cells"], *(batch[c] for c in names), strict=True):
+                order = np.argsort(np.asarray(numbers[0], np.int64))
+                tid, root, n, at, *before = (np.asarray(c, np.int64)[order] for c in numbers)
+                counts = _counts(cells[i] for i in order)
                 us, vs, cut = [], [], 0
                 for i in range(len(tid) - 1):
-                    other = i + 1 + np.flatnonzero((root[i + 1 :] != root[i]) & may_be_similar(n[i + 1 :], at[i + 1 :], n[i], at[i], similarity))
+                    new = (root[i + 1 :] != root[i]) & may_be_similar(n[i + 1 :], at[i + 1 :], n[i], at[i], similarity)
+                    for key in {int(b[i]) for b in before} - {0}:
+                        for b in before:
+                            new &= b[i + 1 :] != key
+                    other = i + 1 + np.flatnonzero(new)
                     if len(other):
                         bound = np.minimum(counts[other], counts[i]).sum(axis=1) / (n[other] + n[i])
                         fine = bound >= need - 1e-9
@@ -366,13 +378,21 @@ def near_copies(rows: DataFrame, scratch: Scratch, width: int, similarity: float
     # groups that are alike grow together before their pairs are many, then more, until no pair is left out.
     roots, tried, most = scratch.table(components(links, scratch).withColumnRenamed("node", "tid")), pairs, 4
     split = shared.join(roots, "tid", "left").groupBy("key").agg(F.countDistinct(F.coalesce("root", "tid")).alias("n"), F.count("*").alias("size")).filter("n > 1 AND size > 2")
-    held = shared.select("key", "tid", "n", "at").join(split.select("key"), "key").join(texts.select("tid", "cells"), "tid")
-    held = scratch.table(held.select("key", "tid", "n", "at", "cells"))
-    member = F.struct("tid", "root", "n", "at", "cells")
+    # Texts that share a passage share many shingles.  A pair is one of the first shingle it shares only, so a shingle that follows the same one in every text
+    # that holds it has no pairs of its own.
+    in_text = Window.partitionBy("tid").orderBy("at")
+    before = [F.coalesce(F.lag("key", k + 1).over(in_text), F.lit(0).cast("long")).alias(b) for k, b in enumerate(BEFORE)]
+    dealt = scratch.table(shared.select("key", "tid", "n", "at").join(split.select("key"), "key").select("key", "tid", "n", "at", *before))
+    first = dealt.groupBy("key").agg(F.min(BEFORE[0]).alias("a"), F.max(BEFORE[0]).alias("b")).filter("a < b OR a = 0").select("key")
+    held = dealt.join(first, "key").join(texts.select("tid", "cells"), "tid")
+    held = scratch.table(held.select("key", "tid", "n", "at", *BEFORE, "cells"))
+    scratch.remove(dealt)
+    columns = ("tid", "root", "n", "at", *BEFORE, "cells")
+    member = F.struct(*columns)
     while True:
         now = held.join(roots, "tid", "left").withColumn("root", F.coalesce("root", "tid"))
         groups = now.groupBy("key").agg(F.collect_list(member).alias("all"), F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b")
-        groups = groups.select(*(F.col(f"all.{c}").alias(c) for c in ("tid", "root", "n", "at", "cells")))
+        groups = groups.select(*(F.col(f"all.{c}").alias(c) for c in columns))
         found = scratch.table(groups.mapInPandas(_unlinked(similarity, most), "u long, v long, cut long"))
         cut = found.agg(F.sum("cut")).first()[0]
         rest = scratch.table(found.filter("u <> v").select("u", "v").distinct().join(tried, ["u", "v"], "left_anti"))
