@@ -330,7 +330,11 @@ def near_copies(rows: DataFrame, scratch: Scratch, width: int, similarity: float
     # Copies of a text are summed up here, once; from here on a text is one row however many copies it has.
     one = F.min_by(F.struct("fp", "n", "keys", "cells"), "mark")
     texts = rows.groupBy("tid").agg(F.min("mark").alias("mark"), one.alias("x"))
-    texts = scratch.table(texts.select("tid", "mark", "x.fp", "x.n", "x.keys", "x.cells"))
+    keyed = scratch.table(texts.select("tid", "mark", "x.fp", "x.n", "x.keys", "x.cells"))
+    # The keys are by far the largest part: they are deleted once they are dealt.
+    named = scratch.table(rows.select("doc_id", "mark", "tid"))
+    scratch.remove(rows)
+    texts = scratch.table(keyed.drop("keys"))
 
     def whole_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -345,6 +349,18 @@ def near_copies(rows: DataFrame, scratch: Scratch, width: int, similarity: float
             fine = [similar(a, b, len(a) + len(b) + 1) >= similarity for a, b in sets]
             yield batch.loc[fine, ["u", "v"]]
 
+    def fits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                shared_most = np.minimum(_counts(batch["a"]), _counts(batch["b"])).sum(axis=1)
+                yield batch.loc[shared_most >= similarity / (1 + similarity) * (batch["n"] + batch["n2"]).to_numpy() - 1e-9, ["u", "v"]]
+
+    def bounded(pairs: DataFrame) -> DataFrame:
+        """Those of ``pairs(u, v)`` whose cell counts allow the similarity: whole sets are read for these only."""
+        u = texts.select(F.col("tid").alias("u"), "n", F.col("cells").alias("a"))
+        v = texts.select(F.col("tid").alias("v"), F.col("n").alias("n2"), F.col("cells").alias("b"))
+        return pairs.join(u, "u").join(v, "v").mapInPandas(fits, "u long, v long")
+
     def verified(pairs: DataFrame) -> DataFrame:
         """Those of ``pairs(u, v)`` that are similar, by the whole shingle sets.  Only texts in a pair are read again."""
         asked = pairs.select(F.col("u").alias("tid")).unionAll(pairs.select(F.col("v").alias("tid"))).distinct()
@@ -357,10 +373,11 @@ def near_copies(rows: DataFrame, scratch: Scratch, width: int, similarity: float
 
     # First, texts that share a shingle of their prefixes are paired with the least and the greatest of those that do.  The rows are
     # dealt by key once, for both the ends and the pairs; few keys occur twice.
-    member = texts.select("tid", "n", F.posexplode("keys").alias("at", "key")).repartition("key")
+    member = keyed.select("tid", "n", F.posexplode("keys").alias("at", "key")).repartition("key")
     end = F.struct("tid", "n", "at")
     ends = member.groupBy("key").agg(F.min("tid").alias("low"), F.max("tid").alias("high")).filter("low < high")
     shared = scratch.table(member.join(ends, "key"))
+    scratch.remove(keyed)
     ends = shared.filter("tid = low OR tid = high").select("key", end.alias("end"))
     pairs = shared.join(ends, "key").filter(F.expr("end.tid <> tid") & _may_be_similar(F.col("n"), F.col("at"), F.col("end.n"), F.col("end.at"), similarity))
     pairs = pairs.select(F.col("tid").alias("v"), F.col("end.tid").alias("u"))
@@ -372,7 +389,9 @@ def near_copies(rows: DataFrame, scratch: Scratch, width: int, similarity: float
     same = texts.join(of_fp, "fp").select(F.col("least").alias("u"), F.col("tid").alias("v"))
     pairs = pairs.unionByName(linked).unionByName(same).filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     pairs = scratch.table(pairs)
-    links = verified(pairs)
+    near = scratch.table(bounded(pairs))
+    links = verified(near)
+    scratch.remove(near)
 
     # Then every other pair of a shingle is, unless links found so far connect it already: first the most promising few of each member, so that
     # groups that are alike grow together before their pairs are many, then more, until no pair is left out.
@@ -402,8 +421,7 @@ def near_copies(rows: DataFrame, scratch: Scratch, width: int, similarity: float
         if not cut:
             break
         tried, most = tried.unionAll(rest), 16 * most
-    named = scratch.table(rows.select("doc_id", "mark", "tid"))
-    scratch.remove(rows, texts, shared, held, pairs, rest, links)
+    scratch.remove(texts, shared, held, pairs, rest, links)
     return named, roots
 
 
