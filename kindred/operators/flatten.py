@@ -250,7 +250,8 @@ def select_features(flat: DataFrame, selection: DataFrame) -> DataFrame:
     Values of datatype "kategorisch" are text, others numbers where they read as such.  Where several paths of an entity
     name one parameter, the last by ordinal counts."""
     chosen = selection.select(F.col("path").alias("parameter"), "component", "param", "unit", "ptype", "datatype", F.col("ordinal").alias("turn"))
-    rows = values_of(flat).join(chosen, "parameter")
+    # The selection is the small side, whatever the planner takes the flattened documents for: those never go through the driver.
+    rows = values_of(flat).join(F.broadcast(chosen), "parameter")
     text = F.coalesce(F.col("value_str"), F.col("value_num").cast("string"))
     num = F.when(F.col("datatype") != "kategorisch", F.coalesce(F.col("value_num"), plain_number(F.col("value_str"))))
     rows = rows.select("entity_id", "component", "param", num.alias("value_num"), F.when(num.isNull(), text).alias("value_str"), "unit", "ptype", "turn")

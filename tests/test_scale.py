@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from kindred.operators import vectors
+from kindred.operators import flatten, vectors
 from kindred.plans import inputs
 from kindred.plans.queries import QUERIES
 
@@ -30,3 +30,12 @@ def test_dense_cells_are_not_broadcast(spark):
     found = joins(vectors.dense(vectors.feature_vectors(f, dims), dims), "entity_id")
     assert len(found) >= 2
     assert not any("Broadcast" in x for x in found)
+
+
+def test_flattened_documents_are_not_broadcast(spark):
+    flat = spark.createDataFrame([("e", 0, "x", 1.0, None, None)], flatten.FLAT)
+    selection = spark.createDataFrame([("x", "C", "P", "mm", "GEOM", "numerisch", 0)], "path string, component string, param string, unit string, ptype string, datatype string, ordinal long")
+    df = flatten.select_features(flat, selection)
+    found = joins(df, "parameter")
+    assert found and all("BroadcastHashJoin" in x and "BuildRight" in x for x in found)
+    assert [tuple(r) for r in df.collect()] == [("e", "C", "P", 1.0, None, "mm", "GEOM")]
