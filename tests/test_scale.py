@@ -2,9 +2,13 @@
 
 import re
 
+import numpy as np
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
-from kindred.operators import flatten, vectors
+from kindred.model import CATEGORIES, FEATURES, GEOMETRY
+from kindred.operators import blocks, flatten, rule, validate, vectors
 from kindred.plans import inputs
 from kindred.plans.queries import QUERIES
 
@@ -39,3 +43,86 @@ def test_flattened_documents_are_not_broadcast(spark):
     found = joins(df, "parameter")
     assert found and all("BroadcastHashJoin" in x and "BuildRight" in x for x in found)
     assert [tuple(r) for r in df.collect()] == [("e", "C", "P", 1.0, None, "mm", "GEOM")]
+
+
+# --- pairs in blocks -------------------------------------------------------------------------------------------
+
+
+def messy(spark, n=23):
+    """Facts with nulls, numbers as text, repeated facts, constants, not-a-number, missing facts and entities of one category only."""
+    rng, rows = np.random.default_rng(5), []
+    for i in range(n):
+        for p, t in (("len", "GEOM"), ("mass", "DYN"), ("same", "COST"), ("steel", "MTRL"), ("mix", "REQ"), ("nan", "REQ")):
+            if rng.random() < 0.2 or (i == 3 and t != "GEOM") or (i == 4 and t != "REQ"):
+                continue
+            num = {"same": 4.0, "nan": float("nan") if i % 3 else 1.0}.get(p, float(rng.integers(0, 6)))
+            text = p == "steel" or (p == "mix" and rng.random() < 0.5)
+            given = rng.random() > 0.15
+            row = (f"e{i}", "C", p, num if given and not text else None, ["x", " y ", "1", "2.0"][rng.integers(4)] if given and text else None, None, t)
+            rows += [row] * (2 if p == "steel" and i % 7 == 0 else 1)
+    return spark.createDataFrame(rows, FEATURES)
+
+
+@pytest.mark.parametrize("block", [3, 100])
+def test_blocks_agree_with_one_entity_at_a_time(spark, block):
+    f = messy(spark).cache()
+    plain = f.dropDuplicates(["entity_id", "component", "param"]).cache()  # the scores of one entity take its facts as they are, too
+    cells = vectors.feature_vectors(plain.filter("NOT isnan(value_num) OR value_num IS NULL")).cache()
+    ids = sorted(r[0] for r in f.select("entity_id").distinct().collect())
+    ways = [
+        (blocks.Pairs(blocks.rule_cells(plain, rule.numeric_stats(plain)), (blocks.RULE,), block=block).wide(), lambda q: rule.rule_scores(plain, q), True),
+        (blocks.Pairs(blocks.vector_cells(cells), (blocks.VECTOR,), block=block).wide(), lambda q: vectors.vector_scores(cells, q), False),
+    ]
+    for pairs, scores, whole in ways:
+        got = {(r["a"], r["b"]): tuple(r)[2:] for r in pairs.collect()}
+        assert all(a < b for a, b in got) and (len(got) == len(ids) * (len(ids) - 1) // 2 or not whole)
+        for q in ids[::6]:
+            for r in scores(q).collect():
+                pair = (min(q, r["entity_id"]), max(q, r["entity_id"]))
+                if whole or pair in got:
+                    assert tuple(r)[1:] == pytest.approx(got[pair], abs=1e-12), pair
+
+
+@pytest.mark.parametrize("block", [4, 100])
+def test_sums_over_blocks_are_those_over_rows(spark, block):
+    f = messy(spark).filter("NOT isnan(value_num) OR value_num IS NULL").cache()
+    cells = blocks.rule_cells(f, rule.numeric_stats(f)).unionAll(blocks.vector_cells(vectors.feature_vectors(f))).cache()
+    own = blocks.Pairs(cells, (blocks.RULE, blocks.VECTOR), digits=9, block=block)
+    rows = own.rows().cache()
+    by = lambda df: {r[0]: tuple(r)[1:] for r in df.collect()}
+    for got, want in (
+        (own.stats(), validate.pair_stats(rows)),
+        (own.regression("rule"), validate.regression(rows, "rule")),
+        (validate.overlap(own.best(3), "rule", 3), validate.jaccard_top(rows, "rule", 3)),
+    ):
+        got, want = by(got), by(want)
+        assert got.keys() == want.keys() and want
+        assert all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+    assert {tuple(r) for r in own.histogram(7).collect()} == {tuple(r) for r in validate.histogram(rows, 7).collect()}
+    weights = {"rule": 0.5, "vector": 0.3}
+    got, want = ({(r["a"], r["b"]): r["sim"] for r in x.collect()} for x in (own.weighted(weights), validate.hybrid_pairs(rows, weights)))
+    assert got == pytest.approx(want)
+
+
+@pytest.mark.parametrize("query", ["rule_pairs", "vector_pairs", "pair_stats", "best_method", "pair_histogram", "regression_methods", "hybrid_pairs", "embedding_topk_per_entity"])
+def test_pairs_are_not_shuffled(spark, query):
+    """No plan joins or expands to pairs: blocks meet, and what comes out of them is not joined by pair."""
+    df = QUERIES[query](spark, SF)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan
+    assert not joins(df, "a#[0-9]+, b") and not re.search(r"Exchange hashpartitioning\(a#\d+L?, b#", plan)
+
+
+def test_nearest_vectors_in_blocks(spark):
+    rng = np.random.default_rng(3)
+    x = rng.integers(-2, 3, (40, 4)).astype(float)
+    x[7] = 0
+    rows = [(i, GEOMETRY, [float(v) for v in r]) for i, r in enumerate(x)] + [(40, GEOMETRY, None), (41, GEOMETRY, [1.0, 2.0]), (42, GEOMETRY, [None, 1.0, 0.0, 1.0])]
+    v = spark.createDataFrame(rows, "entity_id long, category string, vec array<double>").cache()
+    want = vectors.top_k_per_entity(vectors.dense_pairs(v).withColumn("sim", F.round("sim", 9)), 5)
+    want = {(r["a"], r["rank"]): (r["b"], r["sim"]) for r in want.collect()}
+    for block in (7, 100):
+        got = blocks.Pairs(blocks.dense_cells(v), CATEGORIES, digits=9, block=block).best(5)
+        order = Window.partitionBy("a").orderBy(F.desc("sim"), "b")
+        got = got.withColumn("rank", F.row_number().over(order)).filter("rank <= 5")
+        assert {(r["a"], r["rank"]): (r["b"], r["sim"]) for r in got.collect()} == want
