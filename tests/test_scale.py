@@ -126,3 +126,42 @@ def test_nearest_vectors_in_blocks(spark):
         order = Window.partitionBy("a").orderBy(F.desc("sim"), "b")
         got = got.withColumn("rank", F.row_number().over(order)).filter("rank <= 5")
         assert {(r["a"], r["rank"]): (r["b"], r["sim"]) for r in got.collect()} == want
+
+
+def plain_linkage(d, clusters):
+    """Average linkage that searches the whole matrix for each merge."""
+    d, n = d.copy(), len(d)
+    np.fill_diagonal(d, np.inf)
+    size, label = np.ones(n), np.arange(n)
+    for _ in range(n - clusters):
+        i, j = sorted(divmod(int(np.argmin(d)), n))
+        d[i] = d[:, i] = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
+        d[i, i] = np.inf
+        d[j] = d[:, j] = np.inf
+        size[i] += size[j]
+        label[label == j] = i
+    return np.unique(label, return_inverse=True)[1]
+
+
+@pytest.mark.parametrize("levels", [2, 5, 1 << 30])
+def test_linkage_with_kept_minima(levels):
+    rng = np.random.default_rng(levels)
+    for n in (2, 6, 40, 41, 90):
+        d = rng.integers(0, levels, (n, n)) / levels
+        d = np.triu(d, 1) + np.triu(d, 1).T
+        assert (validate.average_linkage(d, min(5, n)) == plain_linkage(d, min(5, n))).all()
+
+
+def test_linkage_of_more_than_four_thousand(spark):
+    x = np.sort(np.random.default_rng(1).random(4100))
+    label = validate.average_linkage(np.abs(x[:, None] - x[None, :]), 5)
+    assert len(set(label)) == 5 and (np.diff(label) != 0).sum() == 4  # runs of a line
+
+
+def test_silhouette_in_blocks(spark):
+    f = messy(spark).filter("NOT isnan(value_num) OR value_num IS NULL").cache()
+    cells = blocks.rule_cells(f, rule.numeric_stats(f)).cache()
+    own = blocks.Pairs(cells, (blocks.RULE,), digits=9, block=6)
+    rows = own.rows().cache()
+    want = validate.silhouette(rows, validate.cluster_pairs(rows)).collect()
+    assert [tuple(r) for r in own.linkage_silhouette().collect()] == [(want[0][0], pytest.approx(want[0][1], abs=1e-12))]
