@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from kindred.model import CATEGORIES, FEATURES, GEOMETRY
-from kindred.operators import blocks, flatten, rule, validate, vectors
+from kindred.model import CATEGORIES, DEFAULT_WEIGHTS, FEATURES, GEOMETRY
+from kindred.operators import blocks, embeddings, flatten, rule, validate, vectors
 from kindred.plans import inputs
 from kindred.plans.queries import QUERIES
 
@@ -165,3 +165,23 @@ def test_silhouette_in_blocks(spark):
     rows = own.rows().cache()
     want = validate.silhouette(rows, validate.cluster_pairs(rows)).collect()
     assert [tuple(r) for r in own.linkage_silhouette().collect()] == [(want[0][0], pytest.approx(want[0][1], abs=1e-12))]
+
+
+@pytest.mark.parametrize("block", [30, 1000])
+def test_learned_methods_in_blocks(spark, block):
+    f = inputs.supplier_features(spark, "/root/testdata/sf0.01")
+    dims = vectors.feature_dims(f)
+    vecs = vectors.dense(vectors.feature_vectors(f, dims), dims).cache()
+    models = embeddings.kmeans_models(vecs, 4)
+    labels = [m.labels for m in models.values()]
+    across = {CATEGORIES.index(c): embeddings.across_clusters(m.centroids) for c, m in models.items()}
+    pca = spark.createDataFrame(embeddings.pca_embeddings(vecs, 4).collect(), vecs.schema)  # components of equal strength are arbitrary
+    cells = blocks.clustered_cells(pca, "pca").unionByName(blocks.clustered_cells(vecs, "kmeans", labels[0].unionAll(labels[1]).unionAll(labels[2])))
+    weights = {"pca": 0.5, "kmeans": 0.25}
+    rows = blocks.Pairs(cells, ("pca", "kmeans"), block=block, across=across, hybrid=weights).rows()
+    got = {(r["a"], r["b"], r["method"]): r["sim"] for r in rows.collect()}
+    plain = validate.label(vectors._wide(vectors.dense_pairs(pca), ["a", "b"], DEFAULT_WEIGHTS), "pca")
+    plain = plain.unionAll(validate.label(vectors._wide(embeddings.kmeans_pairs(vectors.dense_pairs(vecs), vecs, models), ["a", "b"], DEFAULT_WEIGHTS, zero_unused=True), "kmeans"))
+    want = {(r["a"], r["b"], r["method"]): r["sim"] for r in plain.unionAll(validate.hybrid_pairs(plain, weights)).collect()}
+    assert len(want) == 3 * 4950 and got.keys() == want.keys()
+    assert max(abs(got[k] - want[k]) for k in want) < 1e-9
