@@ -128,6 +128,29 @@ def test_nearest_vectors_in_blocks(spark):
         assert {(r["a"], r["rank"]): (r["b"], r["sim"]) for r in got.collect()} == want
 
 
+@pytest.mark.parametrize(("block", "group", "groups"), [(7, 100, 3), (3, 9, 2), (100, 100, 12)])
+@pytest.mark.parametrize("ids", ["long", "string"])
+def test_nearest_vectors_by_groups(spark, block, group, groups, ids):
+    rng = np.random.default_rng(4)
+    x = rng.integers(-2, 3, (60, 4)).astype(float)
+    x[7], x[20:50] = 0, x[20]  # copies tie, and the least ids are the nearest
+    rows = [(i, GEOMETRY, [float(v) for v in r]) for i, r in enumerate(x)] + [(60, GEOMETRY, None), (61, GEOMETRY, [1.0, 2.0]), (62, GEOMETRY, [None, 1.0, 0.0, 1.0]), (3, "K_REQ_ELEC", [1.0]), (5, "K_REQ_ELEC", [2.0])]
+    for own in (rows, rows[8:60]):  # the second without any odd vector
+        v = spark.createDataFrame(own, "entity_id long, category string, vec array<double>").withColumn("entity_id", F.col("entity_id").cast(ids)).cache()
+        order = Window.partitionBy("a").orderBy(F.desc("sim"), "b")
+        got, want = (
+            {(r["a"], r["rank"]): (r["b"], r["sim"]) for r in x.withColumn("rank", F.row_number().over(order)).filter("rank <= 5").collect()}
+            for x in (blocks.nearest(v, 5, 9, block, group, groups), blocks.Pairs(blocks.dense_cells(v), CATEGORIES, digits=9).best(5))
+        )
+        assert len(got) >= 5 * 50 and got == want
+
+
+def test_nearest_returns_k_rows_an_entity(spark):
+    """Every two blocks gave the k best of each entity before, so that rows grew with the square of the entities."""
+    v = spark.createDataFrame([(i, GEOMETRY, [float(i % 17), float(i % 5), 1.0]) for i in range(90)], "entity_id long, category string, vec array<double>")
+    assert blocks.nearest(v, 5, 9, block=10, groups=3).count() == 90 * 5
+
+
 def plain_linkage(d, clusters):
     """Average linkage that searches the whole matrix for each merge."""
     d, n = d.copy(), len(d)
