@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kindred.model import CATEGORIES, DEFAULT_WEIGHTS, FEATURES, GEOMETRY
-from kindred.operators import blocks, embeddings, flatten, rule, validate, vectors
+from kindred.operators import blocks, embeddings, flatten, ranks, rule, validate, vectors
 from kindred.plans import inputs
 from kindred.plans.queries import QUERIES
 
@@ -208,3 +208,53 @@ def test_learned_methods_in_blocks(spark, block):
     want = {(r["a"], r["b"], r["method"]): r["sim"] for r in plain.unionAll(validate.hybrid_pairs(plain, weights)).collect()}
     assert len(want) == 3 * 4950 and got.keys() == want.keys()
     assert max(abs(got[k] - want[k]) for k in want) < 1e-9
+
+
+# --- ranks by counts -------------------------------------------------------------------------------------------
+
+
+def both_methods(f, block):
+    return blocks.Pairs(blocks.rule_cells(f, rule.numeric_stats(f)).unionAll(blocks.vector_cells(vectors.feature_vectors(f))).cache(), (blocks.RULE, blocks.VECTOR), digits=9, block=block)
+
+
+@pytest.mark.parametrize(("few", "most"), [(1 << 16, 10**9), (0, 60), (4, 10**9)])
+def test_ranks_by_counts_are_those_of_rows(spark, monkeypatch, few, most):
+    """Methods of few and of many values, in one round and in several, with pairs that one method does not know."""
+    monkeypatch.setattr(ranks, "FEW", few)
+    monkeypatch.setattr(ranks, "ROUND", most)
+    own = both_methods(messy(spark).filter("NOT isnan(value_num) OR value_num IS NULL").cache(), 6)
+    rows = own.rows().cache()
+    got, want = ({r["method"]: (r["rho"], r["n"]) for r in x.collect()} for x in (ranks.spearman(own, "rule"), validate.spearman(rows, "rule")))
+    assert got.keys() == want.keys() == {"vector"}
+    assert got["vector"] == pytest.approx(want["vector"], abs=1e-12)
+    got, want = ({(r["method_a"], r["method_b"]): r["rho"] for r in x.collect()} for x in (ranks.spearman_matrix(own), validate.spearman_matrix(rows)))
+    assert len(got) == 4 and got == pytest.approx(want, abs=1e-12)
+
+
+def test_ranks_off_full_slices(monkeypatch):
+    monkeypatch.setattr(ranks, "FEW", 100)
+    rng = np.random.default_rng(8)
+    values = np.sort(np.concatenate([rng.integers(0, ranks.SLICE, 5000), rng.integers(0, 900, 3000), [0, ranks.SLICE - 1]])) + 3 * ranks.SLICE
+    held = ranks._Counts()
+    for part in (values[::2], values[1::2], np.full(400, 3 * ranks.SLICE + 7)):
+        held.add(part.astype(np.int32))
+    sums = np.zeros(ranks.SLICE, np.int64)
+    for method, k, size, packed in held.rows("m"):
+        places, counts = ranks._unpacked(size, packed)
+        assert (method, k) == ("m", 3)
+        sums[places] += counts
+    values = np.sort(np.concatenate([values, np.full(400, 3 * ranks.SLICE + 7)]))
+    (row,) = (b.to_pylist()[0] for b in ranks._slice(("m", 3), sums))
+    assert row["dense"] and row["n"] == len(values) and row["distinct"] == len(set(values))
+    keys, got = (values[::3].astype(np.uint64) << np.uint64(30)) | np.uint64(5), []
+    for i, j, places, base, counts in ranks._stretches(keys, np.uint64(30), row, 1000):
+        assert i == len(got)
+        got += (2 * (base + counts[1].astype(np.int64)) - counts[0] + 1)[places].tolist()
+    below, upto = np.searchsorted(values, values[::3]), np.searchsorted(values, values[::3], side="right")
+    assert got == (2 * 1000 + below + upto + 1).tolist()
+
+
+def test_ranks_need_no_table_of_pairs(spark, monkeypatch):
+    """The pairs were written with their ranks before, several times over."""
+    monkeypatch.setattr(blocks.Pairs, "rows", None)
+    assert QUERIES["spearman_methods"](spark, SF).count() == 1
