@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..model import GEOMETRY, from_embeddings
 from ..operators import embeddings as E
-from ..operators import flatten, generate, graph, validate, vectors
+from ..operators import flatten, generate, graph, ranks, vectors
 from ..sources import readers, writers
 from ..store import folder, kept
 
 from .inputs import table
-from .queries import EMB, ORACLE_SQL, SPECS, _scored, _supplier_pairs, query, rounded
+from .queries import EMB, ORACLE_SQL, SPECS, _scored, _supplier_blocks, query, rounded
 
 # --- sources and sinks -----------------------------------------------------------------------------------------
 
@@ -285,7 +285,7 @@ def autoencoder_invariants(spark, d):
 @query(ORACLE_SQL["spearman_methods"].replace("SELECT y.method, round(corr(y.rank, x.rank), 6) AS rho, count(*) AS n", "SELECT y.method, round(corr(y.rank, x.rank), 6) AS rho, count(*) AS n, abs(corr(y.rank, x.rank)) * sqrt((count(*) - 2) / (1 - corr(y.rank, x.rank) ** 2)) > 6 AS significant"))
 def spearman_significance(spark, d):
     """Rank correlations with p values: p is below 1e-8 exactly where t exceeds 6 (to 1e-8 or so, at thousands of pairs)."""
-    out = validate.spearman_table(_supplier_pairs(spark, d), "rule")
+    out = ranks.spearman_table(_supplier_blocks(spark, d), "rule")
     return rounded(out.withColumn("significant", F.col("p") < 1e-8).drop("p"), "rho")
 
 

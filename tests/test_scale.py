@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kindred.model import CATEGORIES, DEFAULT_WEIGHTS, FEATURES, GEOMETRY
 from kindred.operators import blocks, embeddings, flatten, ranks, rule, validate, vectors
-from kindred.plans import inputs
+from kindred.plans import files, inputs
 from kindred.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -257,4 +257,5 @@ def test_ranks_off_full_slices(monkeypatch):
 def test_ranks_need_no_table_of_pairs(spark, monkeypatch):
     """The pairs were written with their ranks before, several times over."""
     monkeypatch.setattr(blocks.Pairs, "rows", None)
-    assert {n: QUERIES[n](spark, SF).count() for n in ("spearman_methods", "spearman_matrix")} == {"spearman_methods": 1, "spearman_matrix": 4}
+    assert files.spearman_significance is QUERIES["spearman_significance"]
+    assert {n: QUERIES[n](spark, SF).count() for n in ("spearman_methods", "spearman_matrix", "spearman_significance")} == {"spearman_methods": 1, "spearman_matrix": 4, "spearman_significance": 1}
