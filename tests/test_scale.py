@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from kindred.model import CATEGORIES, DEFAULT_WEIGHTS, FEATURES, GEOMETRY
 from kindred.operators import blocks, embeddings, flatten, ranks, rule, validate, vectors
 from kindred.plans import files, inputs
-from kindred.plans.queries import QUERIES
+from kindred.plans.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -210,6 +210,29 @@ def test_learned_methods_in_blocks(spark, block):
     assert max(abs(got[k] - want[k]) for k in want) < 1e-9
 
 
+@pytest.mark.parametrize("rotated", [10, 1000])
+def test_all_components(spark, monkeypatch, rotated):
+    """All components, rotated and not: products as of the centred vectors."""
+    monkeypatch.setattr(embeddings, "ROTATED", rotated)
+    x = np.random.default_rng(6).integers(0, 3, (40, 24)).astype(float)
+    v = spark.createDataFrame([(i, GEOMETRY, r.tolist()) for i, r in enumerate(x)], "entity_id long, category string, vec array<double>")
+    got = {r["entity_id"]: np.array(r["vec"]) for r in embeddings.pca_embeddings(v, None).collect()}
+    y, z = np.stack([got[i] for i in range(40)]), x - x.mean(axis=0)
+    assert np.abs(y @ y.T - z @ z.T).max() < 1e-9
+
+
+def test_full_rank_query_has_no_cap(spark, tmp_path):
+    """More than a thousand dimensions: the query kept the first thousand components before."""
+    duckdb = pytest.importorskip("duckdb")
+    duckdb.sql("COPY (SELECT * REPLACE (p_name || ' ' || p_partkey AS p_name) FROM '/root/testdata/sf0.01/part.parquet' WHERE p_partkey < 1100) TO '%s/part.parquet'" % tmp_path)
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW part AS FROM '{tmp_path}/part.parquet'")
+    want = con.sql(ORACLE_SQL["pca_fullrank_topk"]).fetchall()
+    got = [tuple(r) for r in QUERIES["pca_fullrank_topk"](spark, str(tmp_path)).collect()]
+    assert [r[0] for r in got] == [r[0] for r in want]
+    assert all(a[1:] == pytest.approx(b[1:], abs=1.1e-6) for a, b in zip(got, want, strict=True))
+
+
 # --- ranks by counts -------------------------------------------------------------------------------------------
 
 
