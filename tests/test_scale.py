@@ -233,6 +233,24 @@ def test_full_rank_query_has_no_cap(spark, tmp_path):
     assert all(a[1:] == pytest.approx(b[1:], abs=1.1e-6) for a, b in zip(got, want, strict=True))
 
 
+def test_method_pairs_are_all_pairs_by_all_methods(spark):
+    """The query summed up four methods before, and returned no pair."""
+    got = QUERIES["method_pairs"](spark, SF)
+    assert got.columns == ["a", "b", "method", "sim"]
+    rows = got.collect()
+    n = inputs.supplier_features(spark, SF).select("entity_id").distinct().count()
+    by = {m: {(r["a"], r["b"]): r["sim"] for r in rows if r["method"] == m} for m in ("rule", "vector", "pca", "autoencoder", "kmeans", "hybrid")}
+    assert len(rows) == 6 * n * (n - 1) // 2 and all(len(x) == n * (n - 1) // 2 for x in by.values())
+    assert all(by["hybrid"][p] == pytest.approx((by["pca"][p] + by["kmeans"][p]) / 2, abs=1e-12) for p in by["hybrid"])
+
+
+def test_autoencoder_of_all_rows(spark):
+    x = np.random.default_rng(2).random((40, 3))
+    v = spark.createDataFrame([(i, GEOMETRY, r.tolist()) for i, r in enumerate(x)], "entity_id long, category string, vec array<double>").cache()
+    of = lambda n: [r["vec"] for r in embeddings.autoencoder_embeddings(v, 2, max_iter=2, max_rows=n).orderBy("entity_id").collect()]
+    assert of(None) == of(40) != of(20)
+
+
 # --- ranks by counts -------------------------------------------------------------------------------------------
 
 
