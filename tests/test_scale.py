@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kindred.model import CATEGORIES, DEFAULT_WEIGHTS, FEATURES, GEOMETRY
-from kindred.operators import blocks, embeddings, flatten, ranks, rule, validate, vectors
+from kindred.operators import blocks, embeddings, flatten, linkage, ranks, rule, validate, vectors
 from kindred.plans import files, inputs
 from kindred.plans.queries import ORACLE_SQL, QUERIES
 
@@ -190,6 +190,47 @@ def test_silhouette_in_blocks(spark):
     assert [tuple(r) for r in own.linkage_silhouette().collect()] == [(want[0][0], pytest.approx(want[0][1], abs=1e-12))]
 
 
+@pytest.mark.parametrize(("block", "near", "dense"), [(7, 2, 5), (100, 3, 12), (16, 1, 30)])
+@pytest.mark.parametrize("kind", ["even", "copies"])
+def test_linkage_in_rounds_is_that_of_the_matrix(spark, monkeypatch, block, near, dense, kind):
+    """Clusters by merges that parts of the distances prove; one matrix of all entities before, which did not fit an executor."""
+    rng = np.random.default_rng(block)
+    x = rng.random((70, 3)) if kind == "even" else rng.random((9, 3))[np.sort(rng.integers(0, 9, 70))]
+    rows = [(f"e{i}", "C", p, float(v), None, None, t) for i, r in enumerate(x) for p, t, v in zip(("len", "cost", "volt"), ("GEOM", "COST", "REQ"), r, strict=True)]
+    f = spark.createDataFrame(rows, FEATURES).cache()
+    cells = blocks.rule_cells(f, rule.numeric_stats(f)).unionAll(blocks.vector_cells(vectors.feature_vectors(f))).cache()
+    methods = (blocks.RULE, blocks.VECTOR) if kind == "copies" else (blocks.RULE,)  # cosines of one dimension are copies
+    own = blocks.Pairs(cells, methods, digits=9, block=block)
+    want = [tuple(r) for r in own.linkage_silhouette().orderBy("method").collect()]
+    monkeypatch.setattr(linkage, "DENSE", dense)
+    monkeypatch.setattr(linkage, "NEAR", near)
+    got = [tuple(r) for r in own.linkage_silhouette().orderBy("method").collect()]
+    assert got == [(m, pytest.approx(v, abs=1e-9)) for m, v in want] and len(got) == len(methods)
+
+
+def test_proven_merges_are_those_of_the_matrix():
+    rng = np.random.default_rng(9)
+    for n, k in ((30, 3), (60, 5), (60, 20), (90, 2), (90, 4)):
+        d = rng.random((n, n))
+        d = np.triu(d, 1) + np.triu(d, 1).T
+        label, tree = np.arange(n), []
+        while label.max() > 0:
+            first = np.unique(label, return_index=True)[1].tolist()
+            member = np.eye(label.max() + 1)[label]
+            size = member.sum(axis=0)
+            mean = member.T @ d @ member / np.outer(size, size)
+            np.fill_diagonal(mean, np.inf)
+            order = np.argsort(mean, axis=1)[:, : min(k, len(size) - 1)]
+            x, y = np.repeat(np.arange(len(size)), order.shape[1]), order.ravel()
+            bound = mean[np.arange(len(size)), order[:, -1]] if k < len(size) - 1 else np.full(len(size), np.inf)
+            found = linkage.merged(size, x, y, mean[x, y], bound, [])
+            assert found
+            tree += [(first[a], first[b], v) for a, b, v in found]
+            label = linkage.united(len(size), found)[label]
+        label = linkage.united(n, linkage.least_merges(n, tree, 5))
+        assert len({*zip(label.tolist(), plain_linkage(d, 5).tolist(), strict=True)}) == 5, (n, k)
+
+
 @pytest.mark.parametrize("block", [30, 1000])
 def test_learned_methods_in_blocks(spark, block):
     f = inputs.supplier_features(spark, "/root/testdata/sf0.01")
